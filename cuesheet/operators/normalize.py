@@ -137,6 +137,10 @@ def normalize_scripts(
         lex = _lexicon_columns(lexicon)
         if lex is not None:
             pattern, mapping = lex
+            if isinstance(lexicon, DataFrame):
+                # A subquery may not stand inside a lambda: give it columns first.
+                s.df = s.df.withColumns({"__pattern": pattern, "__mapping": mapping})
+                pattern, mapping = F.col("__pattern"), F.col("__mapping")
             replaced = lambda c: F.when(F.regexp_like(c, pattern), X.apply_lexicon(c, pattern, mapping)).otherwise(c)
             s.run([("lexicon", lambda c: F.regexp_count(c, pattern), replaced)], coded)
         same = lambda c: c

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = {c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}
+    df = df.withColumns(plain) if plain else df
     return df.select(*columns) if columns else df
 
 
@@ -68,9 +70,9 @@ def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"),
         F.when(F.col("event_type") == "error", "Error").otherwise("Done").alias("status"),
         F.col("value").alias("audio_sec"),
-        F.round(F.col("value") * (k + 20) / 400, 2).alias("gen_sec"),
+        (F.col("value") * (k + 20) / 400.0).alias("gen_sec"),
         F.round((k + 20) / 400, 3).alias("rtf"),
-        F.round(F.col("value") * k / 1000, 3).alias("verify_s"),
+        (F.col("value") * k / 1000.0).alias("verify_s"),
         F.round((k % 10) / 5, 2).alias("voice_prompt_s"),
         F.greatest(k, F.lit(1)).alias("chunks"),
         F.when(redone > 0, F.sequence(F.lit(1), F.greatest(redone, F.lit(1)))).otherwise(F.array().cast("array<int>")).alias("regen_chunks"),
@@ -91,8 +93,8 @@ RENDERS_SQL = """renders AS (
   SELECT event_id AS clip_id, ts, 'v' || user_id AS voice_id, 'host' || (user_id % 7) AS host,
          CASE WHEN user_id % 5 <> 0 THEN 't' || (user_id % 3) END AS tenant, event_type,
          CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Done' END AS status,
-         value AS audio_sec, round(value * (k + 20) / 400.0, 2) AS gen_sec, round((k + 20) / 400.0, 3) AS rtf,
-         round(value * k / 1000.0, 3) AS verify_s, round((k % 10) / 5.0, 2) AS voice_prompt_s,
+         value AS audio_sec, value * (k + 20) / 400.0 AS gen_sec, round((k + 20) / 400.0, 3) AS rtf,
+         value * k / 1000.0 AS verify_s, round((k % 10) / 5.0, 2) AS voice_prompt_s,
          greatest(k, 1) AS chunks, k % 4 AS redone,
          k % 4 AS dropped_words, CASE WHEN k % 4 > 0 THEN k % 3 ELSE 0 END AS extra_words,
          round((k % 4) * 1.5, 1) AS regen_sec, 900.0 + k * 40 AS vram_free_mb, 8000.0 + k * 5 AS reserved_mb,

@@ -48,24 +48,18 @@ def prefix_sum(
     whole = Window.partitionBy(*key_cols(keys))
     offsets = rows.groupBy(*parts).agg(F.sum("__v").alias("__t"))
     offsets = offsets.select(
-        *parts,
+        *[F.col(p).alias(f"__off_{p}") for p in parts],
         F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"),
         *([F.sum("__t").over(whole).alias(total)] if total else []),
     )
     inside = Window.partitionBy(*parts).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, _same(rows, offsets, parts), "left").select(
-        *[rows[c] for c in rows.columns], "__off", *([total] if total else [])
-    )
+    same = F.lit(True)
+    for p in parts:
+        same = same & F.col(p).eqNullSafe(F.col(f"__off_{p}"))
+    joined = rows.join(offsets, same, "left").drop(*[f"__off_{p}" for p in parts])
     return joined.withColumn(out, F.col("__off") + F.sum("__v").over(inside)).drop("__b", "__v", "__off")
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: str | Sequence[Column], out: str, bucket: Column
 ) -> DataFrame:

@@ -442,8 +442,8 @@ _NOW = "2024-01-31 00:00:00"
 @query(
     "readiness",
     f"""{W}, s AS (SELECT host, arg_max(vram_free_mb, ts) AS free, arg_max(reserved_mb, ts) AS res FROM renders GROUP BY host),
-t AS (SELECT host, arg_max(event_type <> 'error', ts) AS ok, max(ts) AS at FROM renders GROUP BY host)
-SELECT s.host, ok AND epoch(TIMESTAMP '{_NOW}') - epoch(at) <= 3600 AND free >= 700 AND res <= 8192 * 1.02 AS ready, round(epoch(TIMESTAMP '{_NOW}') - epoch(at), 1) AS age_s,
+t AS (SELECT host, arg_max(event_type <> 'error', ts) AS ok, max(ts) AS tested FROM renders GROUP BY host)
+SELECT s.host, ok AND epoch(TIMESTAMP '{_NOW}') - epoch(tested) <= 3600 AND free >= 700 AND res <= 8192 * 1.02 AS ready, round(epoch(TIMESTAMP '{_NOW}') - epoch(tested), 1) AS age_s,
   CASE WHEN res > 8192 * 1.02 THEN 'VRAM has spilled into system memory; restart the server' ELSE '' END AS reason FROM s JOIN t ON s.host = t.host""",
 )
 def readiness(spark, sf):

@@ -394,8 +394,8 @@ def segment_health(spark, sf):
     return out.drop("chunks")
 
 
-@query("cosine_distance", "WITH c AS (SELECT label, any_value(embedding ORDER BY vec_id) AS base FROM embeddings GROUP BY label) SELECT e.vec_id, round(1 - list_sum(list_transform(e.embedding, lambda x, i: x::DOUBLE * c.base[i]::DOUBLE)), 6) AS distance FROM embeddings e JOIN c USING (label)")
+@query("cosine_distance", "WITH c AS (SELECT label, any_value(embedding ORDER BY vec_id) AS base FROM embeddings GROUP BY label) SELECT e.vec_id, round(1 - list_sum(list_transform(e.embedding, lambda x, i: x::DOUBLE * c.base[i]::DOUBLE)), 6) + 0.0::DOUBLE AS distance FROM embeddings e JOIN c USING (label)")
 def cosine_distance(spark, sf):
     e = table(spark, sf, "embeddings")
     base = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("base"))
-    return e.join(base, "label").select("vec_id", F.round(A.cosine_distance(F.col("embedding"), F.col("base")), 6).alias("distance"))
+    return e.join(base, "label").select("vec_id", (F.round(A.cosine_distance(F.col("embedding"), F.col("base")), 6) + F.lit(0.0)).alias("distance"))

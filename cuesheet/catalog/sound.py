@@ -9,6 +9,7 @@ from cuesheet.functions import audio as A
 from cuesheet.operators import edits as E
 from cuesheet.operators import frames as FR
 from cuesheet.operators import lab as L
+from cuesheet.session import materialize
 
 QUERIES, ORACLE = {}, {}
 
@@ -59,7 +60,8 @@ WS = f"WITH {SOUND}"
 
 
 def _frames(spark, sf):
-    return FR.frames(blocks(spark, sf), block_frames=FRAMES_PER_BLOCK)
+    """Written once: thresholds, runs and sums all read the frames again."""
+    return materialize(FR.frames(blocks(spark, sf), block_frames=FRAMES_PER_BLOCK), "frames")
 
 
 def _rounded(df, *cols, places=6):
@@ -68,7 +70,8 @@ def _rounded(df, *cols, places=6):
 
 @query("frames", f"{WS} SELECT clip_id, f AS frame_no, round(db, 6) AS db, round(ss, 6) AS sumsq FROM fr")
 def frames(spark, sf):
-    return _rounded(_frames(spark, sf).select("clip_id", "frame_no", "db", "sumsq"), "db", "sumsq")
+    fr = FR.frames(blocks(spark, sf), block_frames=FRAMES_PER_BLOCK)
+    return _rounded(fr.select("clip_id", "frame_no", "db", "sumsq"), "db", "sumsq")
 
 
 @query("conform_samples", """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 20000) / 32768)), 4) AS total,

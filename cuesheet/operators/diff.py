@@ -19,29 +19,57 @@ LISTS = ("dropped", "inserted", "tail_inserted", "hard_dropped", "hard_inserted"
 WORDS = "array<string>"
 
 
-def tokens(
+def token_lists(
     pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id", sent: str = "sent", spoken: str = "spoken"
 ) -> DataFrame:
-    """``(clip, side, pos, w)`` for both texts of every clip.
+    """``(clip, a, b)``: the words of both texts, spread by clip.
 
-    With ``spoken_form`` both sides first go through the script rules, so that
-    "90" and "ninety" compare equal.
+    The words travel as two arrays per clip, not as one row per word; every
+    later step works on this spread without another shuffle.  With
+    ``spoken_form`` both sides first go through the script rules, so that "90"
+    and "ninety" compare equal.
     """
-    sides = pairs.select(
-        key,
-        F.posexplode(F.array(F.coalesce(sent, F.lit("")), F.coalesce(spoken, F.lit("")))).alias("side", "text"),
+    if not spoken_form:
+        words = lambda c: W.diff_tokens(F.col(c))
+        return pairs.select(key, words(sent).alias("a"), words(spoken).alias("b")).repartition(key)
+    texts = F.array(F.coalesce(sent, F.lit("")), F.coalesce(spoken, F.lit("")))
+    sides = normalize_scripts(pairs.select(key, F.posexplode(texts).alias("side", "text")), out="said")
+    sides = sides.select(key, F.struct("side", W.diff_tokens(F.coalesce("said", "text")).alias("t")).alias("s"))
+    both = sides.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return both.select(key, F.col("s")[SENT]["t"].alias("a"), F.col("s")[SPOKEN]["t"].alias("b"))
+
+
+def _sided(a: Column, b: Column) -> Column:
+    one = lambda words, side: F.transform(
+        words, lambda w, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), w.alias("w"))
     )
-    if spoken_form:
-        sides = normalize_scripts(sides, out="text_said").select(
-            key, "side", F.coalesce("text_said", "text").alias("text")
-        )
-    return sides.select(key, "side", F.posexplode(W.diff_tokens(F.col("text"))).alias("pos", "w"))
+    return F.concat(one(a, SENT), one(b, SPOKEN))
+
+
+def tokens(
+    pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id", sent: str = "sent", spoken: str = "spoken"
+) -> DataFrame:
+    """``(clip, side, pos, w)`` for both texts of every clip."""
+    lists = token_lists(pairs, spoken_form, key, sent, spoken)
+    return lists.select(key, F.explode(_sided(F.col("a"), F.col("b"))).alias("t")).select(key, "t.side", "t.pos", "t.w")
+
+
+def unequal_tokens(lists: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Token rows of the clips that differ, and one empty row for the others.
+
+    Most clips say exactly what was sent; ``same_n`` holds their word count, so
+    they need no matching at all.
+    """
+    same = F.col("a") == F.col("b")
+    rows = F.when(~same, _sided(F.col("a"), F.col("b")))
+    out = lists.select(key, F.when(same, F.size("a")).alias("same_n"), F.explode_outer(rows).alias("t"))
+    return out.select(key, "same_n", "t.side", "t.pos", "t.w")
 
 
 def number_occurrences(tok: DataFrame, key: str = "clip_id") -> DataFrame:
     """Add ``k``: this is the k-th time the word appears on its side."""
     w = Window.partitionBy(key, "side", "w").orderBy("pos")
-    return tok.repartition(key).withColumn("k", F.row_number().over(w))
+    return tok.withColumn("k", F.row_number().over(w))
 
 
 def match_occurrences(tok: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -51,8 +79,9 @@ def match_occurrences(tok: DataFrame, key: str = "clip_id") -> DataFrame:
     sit in the same table.
     """
     at = lambda side: F.max(F.when(F.col("side") == side, F.col("pos")))
+    same = F.max("same_n") if "same_n" in tok.columns else F.max(F.lit(None).cast("int"))
     return number_occurrences(tok, key).groupBy(key, "w", "k").agg(
-        at(SENT).alias("sent_pos"), at(SPOKEN).alias("spoken_pos")
+        at(SENT).alias("sent_pos"), at(SPOKEN).alias("spoken_pos"), same.alias("same_n")
     )
 
 
@@ -79,8 +108,9 @@ def gaps(matches: DataFrame, key: str = "clip_id") -> DataFrame:
     sided = matches.select(
         key,
         "w",
+        "same_n",
         (F.col("sent_pos").isNotNull() & F.col("spoken_pos").isNotNull()).alias("hit"),
-        F.explode(
+        F.explode_outer(
             F.filter(
                 F.array(
                     F.struct(F.lit(SENT).alias("side"), F.col("sent_pos").alias("pos"), F.col("spoken_pos").alias("other")),
@@ -90,7 +120,7 @@ def gaps(matches: DataFrame, key: str = "clip_id") -> DataFrame:
             )
         ).alias("at"),
     )
-    sided = sided.select(key, "w", "hit", "at.side", "at.pos", "at.other")
+    sided = sided.select(key, "w", "same_n", "hit", "at.side", "at.pos", "at.other")
     order = Window.partitionBy(key, "side").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -103,6 +133,7 @@ def gaps(matches: DataFrame, key: str = "clip_id") -> DataFrame:
         F.count_if(is_spoken).alias("spoken_words"),
         F.count_if(F.col("hit") & is_sent).alias("matched"),
         F.count_if("behind").alias("reordered"),
+        F.max("same_n").alias("same_n"),
         _word_list(~F.col("hit") & is_sent, F.col("pos")).alias("a"),
         _word_list(~F.col("hit") & is_spoken, F.col("pos")).alias("b"),
     )
@@ -139,10 +170,9 @@ def diff_tokens_table(tok: DataFrame, key: str = "clip_id", threshold: float = V
         F.array_sort(F.collect_list(F.struct(F.col("gap").alias("g"), F.col(c).alias("v")))), lambda s: s["v"]
     )
     last_gap = F.struct("gap", "a", "b")
+    same = F.coalesce(F.max("same_n"), F.lit(0))
     grouped = rows.groupBy(key).agg(
-        F.sum("sent_words").cast("int").alias("sent_words"),
-        F.sum("spoken_words").cast("int").alias("spoken_words"),
-        F.sum("matched").alias("matched"),
+        *[(F.sum(c) + same).cast("int").alias(c) for c in ("sent_words", "spoken_words", "matched")],
         F.sum("reordered").cast("int").alias("reordered"),
         *[F.flatten(in_order(c)).alias(n) for c, n in (("a", "dropped"), ("b", "inserted"))],
         *[F.flatten(in_order(c)).alias(c) for c in ("missing", "extra", "misheard")],
@@ -167,25 +197,13 @@ def diff_tokens_table(tok: DataFrame, key: str = "clip_id", threshold: float = V
     ).withColumn("ok", (F.size("hard_dropped") == 0) & (F.size("hard_inserted") == 0))
 
 
-def _with_empty_clips(diffs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Clips without a single word still get a row."""
-    keys = pairs.select(F.col(key))
-    out = keys.join(diffs, key, "left")
-    fill = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("sent_words", "spoken_words", "reordered")}
-    fill |= {c: F.coalesce(F.col(c), F.array().cast(WORDS)) for c in LISTS}
-    fill["misheard"] = F.coalesce("misheard", F.array().cast("array<struct<sent:string,heard:string>>"))
-    fill["word_accuracy"] = F.coalesce("word_accuracy", F.lit(0.0))
-    fill["ok"] = F.coalesce("ok", F.lit(True))
-    return out.withColumns(fill)
-
-
 def word_diff(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id") -> DataFrame:
     """Word diff of ``(clip_id, sent, spoken)`` rows, counts respected.
 
     Matching is by occurrence, so ``word_accuracy`` is an upper bound when words
     move; ``reordered`` counts the moved ones.
     """
-    return _with_empty_clips(diff_tokens_table(tokens(pairs, spoken_form, key), key), pairs, key)
+    return diff_tokens_table(unequal_tokens(token_lists(pairs, spoken_form, key), key), key)
 
 
 def word_counts(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id") -> DataFrame:
@@ -212,7 +230,7 @@ def membership_diff(tok: DataFrame, key: str = "clip_id") -> DataFrame:
 def bigram_accuracy(tok: DataFrame, key: str = "clip_id") -> DataFrame:
     """Occurrence matching of neighbouring word pairs: an order-aware check."""
     order = Window.partitionBy(key, "side").orderBy("pos")
-    pairs = tok.repartition(key).withColumn("w", F.concat_ws(" ", "w", F.lead("w").over(order)))
+    pairs = tok.withColumn("w", F.concat_ws(" ", "w", F.lead("w").over(order)))
     pairs = pairs.filter(F.col("w").contains(" "))
     n = lambda side: F.count_if(F.col("side") == side)
     per = pairs.groupBy(key, "w").agg(n(SENT).alias("s"), n(SPOKEN).alias("h"))

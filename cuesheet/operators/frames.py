@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import audio as A
 from cuesheet.plans.ordered import by_range, grouped_percentiles, islands, prefix_sum
+from cuesheet.session import materialize
 
 KEY = ["clip_id"]
 BLOCK_FRAMES = 50
@@ -202,7 +203,8 @@ def ends_abruptly(blocks: DataFrame, block_len: int, tail_sec: float = 0.25, lim
 
 def clip_stats(blocks: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """Everything the quality report needs, one row per clip."""
-    fr = frames(blocks, block_frames=block_frames)
+    # Frames are about a hundredth of the samples and every part reads them.
+    fr = materialize(frames(blocks, block_frames=block_frames), "frames")
     thr = silence_threshold(fr)
     out = clip_levels(blocks)
     for part in (gated_loudness(fr), snr(fr), edge_silence(fr, thr).select("clip_id", "trailing_sec")):

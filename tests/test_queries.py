@@ -49,11 +49,11 @@ def test_scans_read_only_what_is_needed(spark):
     assert "event_type" not in scan and "ts" not in scan.replace("struct", "")
 
 
-def test_the_diff_shuffles_tokens_once(spark):
+def test_the_diff_shuffles_once_and_moves_arrays(spark):
     from cuesheet.catalog.base import turn_pairs
     from cuesheet.operators import diff as D
 
-    tok = D.tokens(turn_pairs(spark, SF), spoken_form=False)
-    tail = plan(D.diff_tokens_table(tok))
-    before = plan(tok)
-    assert tail.count("Exchange hashpartitioning") - before.count("Exchange hashpartitioning") == 1
+    pairs = turn_pairs(spark, SF)
+    text = plan(D.word_diff(pairs, spoken_form=False))
+    assert text.count("Exchange hashpartitioning") - plan(pairs).count("Exchange hashpartitioning") == 1
+    assert text.index("Generate explode") < text.index("REPARTITION_BY_COL")

@@ -185,3 +185,10 @@ def report_sink(spark, sf):
     path = scratch_dir(spark, "report")
     S.write_report(R.voice_stats(renders(spark, sf)), path)
     return spark.read.parquet(path).select("voice_id", "clips")
+
+
+@query("rule_order", "SELECT n_name AS key, r_name AS spoken, length(n_name) AS n_chars FROM nation JOIN region ON r_regionkey = n_regionkey ORDER BY n_chars DESC, key")
+def rule_order(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    lex = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("spoken"))
+    return S.rule_order(lex).withColumn("n_chars", long("n_chars"))

@@ -17,26 +17,6 @@ QUERIES, ORACLE = {}, {}
 _TOK = "list_filter(list_transform(string_split_regex(regexp_replace(translate(lower({0}), '’-', ''' '), '[^a-z0-9'' ]', ' ', 'g'), ' +'), lambda w: regexp_replace(w, '^''+|''+$', '', 'g')), lambda w: w <> '')"
 _SOFT = ", ".join(f"'{w}'" for w in V.SOFT_TOKENS)
 _CRIT = ", ".join(f"'{w}'" for w in V.CRITICAL_WORDS)
-TOK_SQL = f"""{PAIRS_SQL},
-lists AS (SELECT clip_id, voice_id, 0 AS side, {_TOK.format("sent")} AS t FROM pairs
-  UNION ALL SELECT clip_id, voice_id, 1, {_TOK.format("spoken")} FROM pairs),
-tok AS (SELECT clip_id, voice_id, side, i - 1 AS pos, t[i] AS w FROM lists, range(1, len(t) + 1) r(i)),
-num AS (SELECT *, row_number() OVER (PARTITION BY clip_id, side, w ORDER BY pos) AS k FROM tok),
-m AS (SELECT coalesce(a.clip_id, b.clip_id) AS clip_id, coalesce(a.w, b.w) AS w, coalesce(a.k, b.k) AS k, a.pos AS sp, b.pos AS hp
-  FROM (SELECT * FROM num WHERE side = 0) a FULL JOIN (SELECT * FROM num WHERE side = 1) b
-  ON a.clip_id = b.clip_id AND a.w = b.w AND a.k = b.k)"""
-GAP_SQL = f"""{TOK_SQL},
-sided AS (SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL AS hit, 0 AS side, sp AS pos, hp AS other FROM m WHERE sp IS NOT NULL
-  UNION ALL SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL, 1, hp, sp FROM m WHERE hp IS NOT NULL),
-marked AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, side ORDER BY pos) AS gap,
-    coalesce(hit AND side = 0 AND other < max(CASE WHEN hit THEN other END) OVER (PARTITION BY clip_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS behind
-  FROM sided),
-gaps AS (SELECT clip_id, CAST(gap AS BIGINT) AS gap, count(*) FILTER (WHERE side = 0) AS sent_words, count(*) FILTER (WHERE side = 1) AS spoken_words,
-    count(*) FILTER (WHERE hit AND side = 0) AS matched, count(*) FILTER (WHERE behind) AS reordered,
-    coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 0), []) AS a, coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 1), []) AS b
-  FROM marked GROUP BY clip_id, gap)"""
-
-
 def _stem_sql(x):
     out = "CASE"
     for s in V.INFLECTIONS:
@@ -56,7 +36,31 @@ def _sound_sql(x):
 _ALIKE = f"""CASE WHEN p.s = p.h THEN TRUE WHEN p.s IN ({_CRIT}) OR p.h IN ({_CRIT}) THEN FALSE
   WHEN ps = hs THEN TRUE WHEN 1 - levenshtein(p.s, p.h) / CAST(greatest(length(p.s), length(p.h)) AS DOUBLE) >= {V.SIMILARITY} THEN TRUE
   ELSE pk <> '' AND pk = hk END"""
-CLASS_SQL = f"""{GAP_SQL},
+
+
+def _chain(pairs_sql):
+    """The SQL of the diff over any ``pairs`` table, cut at its four stages."""
+    tok = f"""{pairs_sql},
+lists AS (SELECT clip_id, voice_id, 0 AS side, {_TOK.format("sent")} AS t FROM pairs
+  UNION ALL SELECT clip_id, voice_id, 1, {_TOK.format("spoken")} FROM pairs),
+tok AS (SELECT clip_id, voice_id, side, i - 1 AS pos, t[i] AS w FROM lists, range(1, len(t) + 1) r(i)),
+num AS (SELECT *, row_number() OVER (PARTITION BY clip_id, side, w ORDER BY pos) AS k FROM tok),
+m AS (SELECT coalesce(a.clip_id, b.clip_id) AS clip_id, coalesce(a.w, b.w) AS w, coalesce(a.k, b.k) AS k, a.pos AS sp, b.pos AS hp
+  FROM (SELECT * FROM num WHERE side = 0) a FULL JOIN (SELECT * FROM num WHERE side = 1) b
+  ON a.clip_id = b.clip_id AND a.w = b.w AND a.k = b.k)"""
+    gap = f"""{tok},
+sided AS (SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL AS hit, 0 AS side, sp AS pos, hp AS other FROM m WHERE sp IS NOT NULL
+  UNION ALL SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL, 1, hp, sp FROM m WHERE hp IS NOT NULL),
+marked AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, side ORDER BY pos) AS gap,
+    coalesce(hit AND side = 0 AND other < max(CASE WHEN hit THEN other END) OVER (PARTITION BY clip_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS behind
+  FROM sided),
+gaps AS (SELECT clip_id, CAST(gap AS BIGINT) AS gap, count(*) FILTER (WHERE side = 0) AS sent_words, count(*) FILTER (WHERE side = 1) AS spoken_words,
+    count(*) FILTER (WHERE hit AND side = 0) AS matched, count(*) FILTER (WHERE behind) AS reordered,
+    coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 0), []) AS a, coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 1), []) AS b
+  FROM marked GROUP BY clip_id, gap)"""
+
+
+    whole = f"""{gap},
 zipped AS (SELECT clip_id, gap, i, {{'s': a[i], 'h': b[i]}} AS p FROM gaps, range(1, len(a) + 1) r(i) WHERE len(a) = len(b) AND len(a) > 0),
 keyed AS (SELECT *, {_stem_sql("p.s")} AS ps, {_stem_sql("p.h")} AS hs, {_sound_sql("p.s")} AS pk, {_sound_sql("p.h")} AS hk FROM zipped),
 alike AS (SELECT clip_id, gap, bool_and({_ALIKE}) AS ok FROM keyed GROUP BY clip_id, gap),
@@ -82,6 +86,10 @@ diff AS (SELECT p.clip_id, p.voice_id, coalesce(sent_words, 0) AS sent_words, co
     coalesce(misheard, []) AS misheard,
     coalesce(round_even(matched / CAST(greatest(sent_words, 1) AS DOUBLE), 4), 0) AS word_accuracy
   FROM pairs p LEFT JOIN diff0 USING (clip_id))"""
+    return tok, gap, whole
+
+
+TOK_SQL, GAP_SQL, CLASS_SQL = _chain(PAIRS_SQL)
 
 
 def _tok(spark, sf):
@@ -337,6 +345,13 @@ def transcriber_agreement(spark, sf):
 
 
 QUERIES["compare_transcribers"] = transcriber_agreement
+_OTHER = """pairs AS (SELECT a.conv_id * 100 + a.turn AS clip_id, a.role AS voice_id, a.text AS sent,
+  a.text || ' ' || array_to_string(string_split(b.text, ' ')[1:2], ' ') AS spoken
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+_BOTH = f"""(SELECT a.clip_id, a.word_accuracy AS a_accuracy, a.clean AS a_clean, b.word_accuracy AS b_accuracy, b.clean AS b_clean, a.clean = b.clean AS agree
+  FROM (WITH {CLASS_SQL} SELECT *, len(missing) = 0 AND len(extra) = 0 AS clean FROM diff) a
+  JOIN (WITH {_chain(_OTHER)[2]} SELECT *, len(missing) = 0 AND len(extra) = 0 AS clean FROM diff) b ON a.clip_id = b.clip_id)"""
+ORACLE["compare_transcribers"] = f"SELECT * FROM {_BOTH}"
 
 
 def agreement_summary(spark, sf):
@@ -345,6 +360,9 @@ def agreement_summary(spark, sf):
 
 
 QUERIES["agreement_summary"] = agreement_summary
+ORACLE["agreement_summary"] = f"""
+SELECT count(*) AS clips, count(*) FILTER (WHERE a_clean) AS a_clean, count(*) FILTER (WHERE b_clean) AS b_clean,
+  round(avg(a_accuracy), 6) AS a_accuracy, round(avg(b_accuracy), 6) AS b_accuracy, count(*) FILTER (WHERE agree) AS agree FROM {_BOTH}"""
 
 
 def reread_audit(spark, sf):
@@ -353,6 +371,15 @@ def reread_audit(spark, sf):
 
 
 QUERIES["reread_audit"] = reread_audit
+_REREAD = f"""pairs AS (SELECT doc_id AS clip_id, '' AS voice_id, text AS sent,
+  array_to_string(list_filter(list_transform({_TOK.format("text")}, lambda w, i: CASE WHEN (i - 1) % 17 = 5 THEN ''
+    WHEN (i - 1) % 11 = 3 AND length(w) > 4 THEN left(w, length(w) - 1) ELSE w END), lambda w: w <> ''), ' ') AS spoken
+  FROM documents WHERE lang = 'en')"""
+
+
+_REAL = """, owned AS (SELECT *, flatten(list_transform(misheard, lambda p: [p.s, p.h])) AS own FROM diff),
+reals AS (SELECT *, list_filter(hard_dropped, lambda w: NOT list_contains(own, w)) AS rd, list_filter(hard_inserted, lambda w: NOT list_contains(own, w)) AS ra FROM owned)"""
+ORACLE["reread_audit"] = f"WITH {_chain(_REREAD)[2]}{_REAL} SELECT {_TOTALS} FROM reals"
 
 
 def reread_counts(spark, sf):
@@ -419,3 +446,10 @@ def staged_verify(spark, sf):
 
 
 QUERIES["staged_verify"] = staged_verify
+_CLIPS = """pairs AS (SELECT a.conv_id AS clip_id, '' AS voice_id, string_agg(a.text, ' ' ORDER BY a.turn) AS sent, string_agg(b.text, ' ' ORDER BY a.turn) AS spoken
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 GROUP BY a.conv_id)"""
+ORACLE["staged_verify"] = f"""
+WITH w AS (SELECT clip_id, word_accuracy, len(missing) = 0 AND len(extra) = 0 AS clean FROM (WITH {_chain(_CLIPS)[2]} SELECT * FROM diff)),
+c AS (SELECT clip_id // 100 AS clip_id, count(*) AS chunks, count(*) FILTER (WHERE NOT (len(missing) = 0 AND len(extra) = 0)) AS bad FROM (WITH {CLASS_SQL} SELECT * FROM diff) GROUP BY 1)
+SELECT w.clip_id, CASE WHEN clean THEN 'whole-clip' ELSE 'per-chunk' END AS verify_mode, CASE WHEN NOT clean AND chunks > 1 THEN chunks + 1 ELSE 1 END AS passes,
+  CASE WHEN clean THEN 0 WHEN chunks > 1 THEN bad ELSE 1 END AS bad_chunks, word_accuracy FROM w JOIN c USING (clip_id)"""

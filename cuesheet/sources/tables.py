@@ -54,6 +54,11 @@ def overlay_lexicon(defaults: DataFrame, user: DataFrame) -> DataFrame:
     return both.filter(F.col("spoken") != "")
 
 
+def rule_order(lexicon: DataFrame) -> DataFrame:
+    """Longer keys first, so that a phrase wins over its first word."""
+    return lexicon.withColumn("n_chars", F.length("key")).orderBy(F.desc("n_chars"), "key")
+
+
 def read_voices(spark: SparkSession, index: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Voices whose clip file exists, and the skipped ones.
 

@@ -74,7 +74,7 @@ SELECT host, round(epoch(min(ts)), 3) AS session_start, count(*) AS events FROM
 )
 def busy_sessions(spark, sf):
     """Sessions over the whole log; the batch form reconciles late events."""
-    out = L.busy_sessions(renders(spark, sf).select("ts", "host"), "7200 seconds")
+    out = L.busy_sessions(renders(spark, sf).select("ts", "host"), 7200)
     return out.select("host", F.round(F.col("session_start").cast("double"), 3).alias("session_start"), "events")
 
 

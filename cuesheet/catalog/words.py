@@ -257,7 +257,7 @@ WITH {CLASS_SQL}, x AS (SELECT *, list_filter(extra, lambda w: NOT list_contains
 y AS (SELECT *, concat_ws('; ', {_SHOW.format("missing", "not spoken: ")}, {_SHOW.format("tail_inserted", "extra at end: ")}, {_SHOW.format("other", "extra: ")}) AS bits FROM x)
 SELECT clip_id, CASE WHEN bits <> '' THEN bits
   WHEN len(misheard) > 0 THEN 'check pronunciation: ' || array_to_string(list_transform(misheard[1:6], lambda p: p.s || ' heard as ' || p.h), '; ')
-    || CASE WHEN len(misheard) > 6 THEN ' (+' || (len(misheard) - 6) || ' more)' ELSE '' END || ' — add it to lexicon.json if it is really being said wrong'
+    || CASE WHEN len(misheard) > 6 THEN ' (+' || (len(misheard) - 6) || ' more)' ELSE '' END || ' — add it to the lexicon if it is really being said wrong'
   ELSE 'verified ' || printf('%.1f', word_accuracy * 100) || '%' END AS summary FROM y"""
 
 _TOTALS = """count(*) AS clips, CAST(sum(sent_words) AS BIGINT) AS sent_words, CAST(sum(spoken_words) AS BIGINT) AS spoken_words,

@@ -82,7 +82,7 @@ def pronunciation_note(misheard: Column, limit: int = 4) -> Column:
             F.lit("check pronunciation: "),
             shown,
             more,
-            F.lit(" — add it to lexicon.json if it is really being said wrong"),
+            F.lit(" — add it to the lexicon if it is really being said wrong"),
         ),
     )
 

@@ -8,11 +8,12 @@ answer.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuesheet.operators import renders as R
+from cuesheet.plans.ordered import by_range, prefix_sum
 
 DELAY = "10 minutes"
 
@@ -115,12 +116,37 @@ def readiness_age(stream: DataFrame) -> DataFrame:
     return stream.groupBy("host").agg(F.max_by("ok", "ts").alias("ok"), F.max("ts").alias("tested_at"))
 
 
-def busy_sessions(stream: DataFrame, gap: str = "120 seconds", delay: str = DELAY) -> DataFrame:
-    """Runs of activity between idle gaps, per host."""
-    out = with_lateness(stream, delay).groupBy("host", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("events"))
+def busy_sessions(events: DataFrame, gap_s: int = 120, delay: str = DELAY) -> DataFrame:
+    """Runs of activity between idle gaps, per host, of a stream or a log."""
+    if not events.isStreaming:
+        return _logged_sessions(events, gap_s)
+    session = F.session_window("ts", f"{gap_s} seconds")
+    out = with_lateness(events, delay).groupBy("host", session.alias("s")).agg(F.count(F.lit(1)).alias("events"))
     return out.select("host", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
 
+def _logged_sessions(events: DataFrame, gap_s: int, range_s: float = 86400.0) -> DataFrame:
+    """The same sessions of a whole log, with every host cut into time ranges.
+
+    The first event of a range looks back at the latest event of the ranges
+    before it, so a host with a third of all events is not one task.
+    """
+    rows = events.select("host", "ts", F.col("ts").cast("double").alias("__s"))
+    rows = rows.withColumn("__r", by_range("__s", range_s))
+    before = Window.partitionBy("host").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("host", "__r").agg(F.max("__s").alias("__top"))
+    tops = tops.select("host", "__r", F.max("__top").over(before).alias("__last"))
+    inside = Window.partitionBy("host", "__r").orderBy("__s")
+    linked = rows.join(tops, ["host", "__r"]).withColumn("__prev", F.coalesce(F.lag("__s").over(inside), F.col("__last")))
+    fresh = F.when(F.col("__s") - F.col("__prev") < gap_s, 0).otherwise(1).cast("long")
+    named = prefix_sum(linked, ["host"], [F.col("__s"), fresh.desc()], fresh, "__session", F.col("__r"))
+    out = named.groupBy("host", "__session").agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("events")
+    )
+    ends = F.timestamp_micros(F.unix_micros("session_end") + gap_s * 1_000_000)
+    return out.select("host", "session_start", ends.alias("session_end"), "events")
+
+
 def alerts(stream: DataFrame, voices: DataFrame) -> DataFrame:
     """Rate, cause and loudness warnings of each new render."""
     rated = R.loudness_warning(R.explain_rtf(R.with_rate_warning(stream, voices)))

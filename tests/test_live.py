@@ -62,6 +62,12 @@ def test_sessions_and_states(spark):
     rows = [(T0 + dt.timedelta(seconds=s), "h") for s in (0, 50, 160, 500)]
     out = L.busy_sessions(spark.createDataFrame(rows, "ts timestamp, host string")).collect()
     assert sorted(r.events for r in out) == [1, 3]
+    old = spark.createDataFrame(rows, "ts timestamp, host string")
+    new = spark.createDataFrame([(T0 + dt.timedelta(hours=3), "h")], "ts timestamp, host string")
+    seen = L.run_available(L.busy_sessions(feed(spark, old, new)), scratch_dir(spark, "s")).collect()
+    batch = L.busy_sessions(old).collect()
+    key = lambda rs: sorted((r.session_start, r.session_end, r.events) for r in rs)
+    assert key(seen) == key(batch)
     jobs = [(1, T0, 1, "Queued"), (1, T0, 2, "Processing"), (2, T0, 3, "Queued")]
     df = spark.createDataFrame(jobs, "job_id int, ts timestamp, seq long, status string")
     now = L.latest(L.run_available(L.job_state(feed(spark, df)), scratch_dir(spark, "j"), "update"), ["job_id"])

@@ -94,11 +94,12 @@ class _Stages:
     def finish(self, out: str, extra: list[Column]) -> DataFrame:
         notes = [_note(rule, F.col(f"__n_{rule}")) for rule in self.rules]
         keep = [c for c in self.df.columns if not c.startswith("__")]
-        done = F.struct(F.col("__t").alias("t"), F.array_compact(F.array(*notes, *extra)).cast(NOTE).alias("notes"))
+        found = F.array_compact(F.array(*notes, *extra)).cast(NOTE)
         # A filter on the result must not be pushed below: it would be written
-        # out once per rule.  A projection with a row id is never crossed.
-        sealed = self.df.select(*keep, F.when(F.monotonically_increasing_id() >= 0, done).alias("__done"))
-        return sealed.select(*keep, F.col("__done.t").alias(out), F.col("__done.notes").alias("notes"))
+        # out once per rule.  A projection with a row id is never crossed.  Text
+        # and notes are sealed apart, so unused notes cost nothing.
+        seal = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+        return self.df.select(*keep, seal(F.col("__t")).alias(out), seal(found).alias("notes"))
 
 
 def _note(rule: str, hits: Column) -> Column:

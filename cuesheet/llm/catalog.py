@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "chat_format", "packing")
+_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

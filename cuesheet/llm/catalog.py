@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate")
+_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate", "minhash")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -274,6 +274,20 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return source.mapInArrow(score, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        counter = Selected(m.index.terms)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col))
+            yield b.filter(pa.array([m.score(counter.counts(t.as_py()))[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def third(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 

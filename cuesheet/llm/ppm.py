@@ -129,77 +129,84 @@ def chances(context: np.ndarray, byte: np.ndarray, count: np.ndarray, low: list[
     return out
 
 
-def block_words(placed: DataFrame) -> DataFrame:
-    """(block, word, n): the distinct words of each block of documents, and their training count there."""
+def block_words(placed: DataFrame, classes: int) -> DataFrame:
+    """(block, word, n_0, n_1, ...): the distinct words of each block of documents, and their training counts by class there."""
+    names = ["block", "word", *(f"n_{k}" for k in range(classes))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: list[Counter] = [Counter() for _ in range(classes)]
+        others: set[bytes] = set()
         current = None
 
         def flush():
-            words = list(counts)
+            words = list(others.union(*counts))
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
-                cols = [pa.array([current] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "word", "n"])
-            counts.clear()
+                cols = [pa.array([current] * len(part), pa.int64()), pa.array(part, pa.binary())]
+                cols += [pa.array([c.get(w, 0) for w in part], pa.int64()) for c in counts]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            for c in counts:
+                c.clear()
+            others.clear()
 
         for b in batches:
-            for block, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for block, kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if block != current:
                     yield from flush()
                     current = block
                 ws = tokens(text.as_py())
                 ws.append(END_TOKEN)
-                if train:
-                    counts.update(ws)
-                else:
-                    for w in ws:
-                        counts.setdefault(w, 0)
+                others.update(ws) if kind is None else counts[kind].update(ws)
         yield from flush()
 
-    dealt = placed.select("block", "train", "text").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(count, "block long, word binary, n long")
+    dealt = placed.select("block", "kind", "text").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(count, "block long, word binary" + "".join(f", n_{k} long" for k in range(classes)))
 
 
-def word_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(word, c, score): log10 probability of every word under the model trained on the counts c.
+def word_scores(counts: DataFrame, classes: int, order: int = ORDER) -> DataFrame:
+    """(word, c, s_0, s_1, ...): log10 probability of every word under the model of each class; c is its count in all.
 
-    The trie is cut by the last two bytes of the contexts: a part holds all
+    The tries are cut by the last two bytes of the contexts: a part holds all
     contexts of order 2 and more that end in them.  Orders 0 and 1 are at most
-    256 x 257 counts and go to every part.
+    256 x 256 counts a class and go to every part.
     """
     spark = counts.sparkSession
+    ns = [f"n_{k}" for k in range(classes)]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             word, context, byte = grams(b.column(0).to_pylist(), order)
-            n = b.column(1).to_numpy(zero_copy_only=False)[word]
-            keys, sums = summed(context * 256 + byte, n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.int64())], names=["gram", "n"])
-
-    distinct = materialize(counts.select("word", "c").mapInArrow(spell, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    low: list[dict] = [{}, {}]
-    pair = F.col("gram") % 65536
-    for r in distinct.where("n > 0").groupBy(pair.alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+            keys = context * 256 + byte
+            at = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.diff(keys[at], prepend=-1))
+            cols = [pa.array(keys[at][first], pa.int64())]
+            cols += [pa.array(np.add.reduceat(c.to_numpy(zero_copy_only=False)[word[at]], first), pa.int64()) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", *ns])
+
+    spelled = counts.select("word", *ns).mapInArrow(spell, "gram long" + "".join(f", {n} long" for n in ns))
+    distinct = materialize(spelled.groupBy("gram").agg(*(F.sum(n).alias(n) for n in ns)), "grams")
+    low: list[list[dict]] = [[{}, {}] for _ in ns]
+    pairs = distinct.groupBy((F.col("gram") % 65536).alias("p")).agg(*(F.sum(n).alias(n) for n in ns))
+    for r in pairs.collect():  # at most 65,536 rows
         c, b = r["p"] // 256, r["p"] % 256
-        low[1].setdefault(c, {})[b] = r["n"]
-        low[0].setdefault(0, {})[b] = low[0].get(0, {}).get(b, 0) + r["n"]
+        for k, n in enumerate(ns):
+            if r[n]:
+                low[k][1].setdefault(c, {})[b] = r[n]
+                low[k][0].setdefault(0, {})[b] = low[k][0].get(0, {}).get(b, 0) + r[n]
     held = spark.sparkContext.broadcast(low)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, "part"):
-            gram, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
-            p = chances(gram // 256, gram % 256, n, held.value, order, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(p, pa.float64())], names=["gram", "p"])
+            gram = t.column("gram").to_numpy()
+            ps = [chances(gram // 256, gram % 256, t.column(n).to_numpy(), held.value[k], order, 2) for k, n in enumerate(ns)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *map(pa.array, ps)], names=["gram", *(f"p_{k}" for k in range(classes))])
 
     parted = distinct.withColumn("part", F.expr("shiftright(gram, 8) % 65536")).repartition("part").sortWithinPartitions("part")
-    model = materialize(parted.mapInArrow(predict, "gram long, p double"), "model")
+    model = materialize(parted.mapInArrow(predict, "gram long" + "".join(f", p_{k} double" for k in range(classes))), "model")
 
-    # every block of words asks for its distinct grams once
-    total = counts.count()
-    parts = max(1, -(-total // 150_000))
-    in_part = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+    # every part of the words asks for its distinct grams once
+    parts = max(1, -(-counts.count() // 150_000))
+    in_part = counts.select("word", sum(map(F.col, ns)).alias("c"), F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, "part"):
@@ -213,65 +220,98 @@ def word_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     answers = asked.join(model, "gram")
 
     def spell_out(words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(words):
-            return pd.DataFrame({"word": [], "c": [], "score": []})
-        gram, p = known["gram"].to_numpy(), known["p"].to_numpy()
-        order_ = np.argsort(gram)
-        gram, p = gram[order_], p[order_]
+        gram = known["gram"].to_numpy()
+        by_gram = np.argsort(gram)
         word, context, byte = grams([bytes(w) for w in words["word"]], order)
-        score = np.bincount(word, p[np.searchsorted(gram, context * 256 + byte)], minlength=len(words))
-        return pd.DataFrame({"word": words["word"], "c": words["c"], "score": score})
+        at = by_gram[np.searchsorted(gram[by_gram], context * 256 + byte)] if len(gram) else context
+        out = {"word": words["word"], "c": words["c"]}
+        for k in range(classes):
+            out[f"s_{k}"] = np.bincount(word, known[f"p_{k}"].to_numpy()[at], minlength=len(words))
+        return pd.DataFrame(out)
 
-    return in_part.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(spell_out, "word binary, c long, score double")
+    ddl = "word binary, c long" + "".join(f", s_{k} double" for k in range(classes))
+    return in_part.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(spell_out, ddl)
 
 
 def score_documents(
-    docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = 16_000_000
+    docs: DataFrame,
+    trains: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    class_col: str | None = None,
+    order: int = ORDER,
+    block_bytes: int = 16_000_000,
+    max_classes: int = 8,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    A text is its words and one end.  ``score`` is the log10 probability of the
-    text: each token is spelled byte by byte by a trie of contexts of up to
-    ``order`` bytes inside the word, trained on the rows where ``trains`` holds
-    and fixed after that, so a word costs the same everywhere and is computed
-    once.  ``base_score`` is the smoothed unigram.  Counts cover all training
-    rows.  Documents are dealt into blocks of about ``block_bytes``; only the
-    distinct words of a block travel to the model and back.  Null and empty
-    texts are the end alone; repeated rows are scored (and learned from) each;
-    without training rows all bytes are equally likely.
+    A text is its words and one end.  The model spells each token byte by byte
+    with a trie of contexts of up to ``order`` bytes inside the word, trained on
+    the rows where ``trains`` holds and fixed after that, so a word costs the
+    same everywhere and is computed once.  With ``class_col`` there is one trie
+    for each class of the training rows (the ``max_classes`` - 1 most frequent,
+    and one for the rest), and ``score`` is the log10 probability of the text
+    under their mixture, weighted by their shares; the class of the scored row
+    is not looked at.  ``base_score`` is the smoothed unigram.  Counts cover all
+    training rows.  Documents are dealt into blocks of about ``block_bytes``;
+    only the distinct words of a block travel to the model and back.  Null and
+    empty texts are the end alone; repeated rows are scored (and learned from)
+    each; without training rows all bytes are equally likely.
     """
+    label = F.coalesce(F.col(f"`{class_col}`").cast("string"), F.lit("")) if class_col else F.lit("")
     base = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(trains, F.lit(False)).alias("train")
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.coalesce(trains, F.lit(False)).alias("train"),
+        label.alias("label"),
     )
+    stats = base.where("train").groupBy("label").agg(F.count("*").alias("n"))
+    frequent = [(r["label"], r["n"]) for r in stats.orderBy(F.desc("n"), "label").limit(max_classes - 1).collect()]
+    n_docs = stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rest = n_docs - sum(n for _, n in frequent)
+    classes = max(1, len(frequent) + (rest > 0))
+    share = np.array([n for _, n in frequent] + [rest] * (rest > 0) or [1]) + 0.5
+    prior = np.log10(share / share.sum())
+    kind = F.lit(classes - 1)
+    for k, (name, _) in enumerate(frequent):
+        kind = F.when(F.col("label") == name, k).otherwise(kind)
     size = base.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))), F.lit(blocks))
-    placed = base.withColumn("block", block)
-    found = materialize(block_words(placed), "block-words")
-    counts = materialize(found.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    scores = materialize(word_scores(counts, order), "word-scores")
-    n_train, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    placed = base.select("doc_id", "text", F.when(F.col("train"), kind).alias("kind"), block.alias("block"))
+    found = materialize(block_words(placed, classes), "block-words")
+    ns = [f"n_{k}" for k in range(classes)]
+    counts = materialize(found.groupBy("word").agg(*(F.sum(n).alias(n) for n in ns)), "word-counts")
+    scores = materialize(word_scores(counts, classes, order), "word-scores")
+    n_train, v = scores.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     answers = found.select("block", "word").join(scores, "word")
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         slot = {bytes(w): k for k, w in enumerate(known["word"])}
-        c, p = known["c"].to_numpy(), known["score"].to_numpy()
+        c = known["c"].to_numpy()
+        s = np.stack([known[f"s_{k}"].to_numpy() for k in range(classes)])
         unigram = np.log10((c + 0.1) / (n_train + 0.1 * (v + 1)))
         rows = []
         for doc, text in zip(texts["doc_id"], texts["text"]):
             ws = tokens(text)
             ws.append(END_TOKEN)
             at = np.fromiter(map(slot.__getitem__, ws), np.int64, len(ws))
-            rows.append((doc, len(ws), int((c[at] > 0).sum()), n_train, float(unigram[at].sum()), float(p[at].sum())))
+            each = prior + s[:, at].sum(axis=1)
+            top = each.max()
+            mixed = float(top + np.log10((10 ** (each - top)).sum()))
+            rows.append((doc, len(ws), int((c[at] > 0).sum()), n_train, float(unigram[at].sum()), mixed))
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    ddl = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, ddl)
+    # ids travel as strings: a null among them would turn the others into floats
+    ddl = "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = placed.select("block", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, ddl)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    scored = score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    scored = score_documents(table(spark, sf_dir, "documents"), ~held_out, class_col="lang")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate", "minhash", "line_dedup", "pii", "ppm")
+_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate", "minhash", "line_dedup", "pii", "ppm", "repeats")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

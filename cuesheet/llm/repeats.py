@@ -81,7 +81,7 @@ def phrases(texts: list[bytes], length: int, powers: Powers) -> tuple[np.ndarray
     return owner, first - base, last + 1 - base, anchor - base, core, hood
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = 6_000_000) -> Iterator[tuple[list[tuple], list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], size: int = 1_500_000) -> Iterator[tuple[list[tuple], list[bytes]]]:
     """Rows (all columns but the text, which is the last) and texts, up to about ``size`` bytes or one longer text."""
     rows, texts, total = [], [], 0
     for b in batches:

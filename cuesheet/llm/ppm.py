@@ -284,12 +284,14 @@ def score_documents(
     counts = materialize(found.groupBy("word").agg(*(F.sum(n).alias(n) for n in ns)), "word-counts")
     scores = materialize(word_scores(counts, classes, order), "word-scores")
     n_train, v = scores.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    answers = found.select("block", "word").join(scores, "word")
+    # of all that is shuffled these rows are the most; seven digits of a word's score are enough
+    short = scores.select("word", "c", *(F.col(f"s_{k}").cast("float").alias(f"s_{k}") for k in range(classes)))
+    answers = found.select("block", "word").join(short, "word")
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         slot = {bytes(w): k for k, w in enumerate(known["word"])}
         c = known["c"].to_numpy()
-        s = np.stack([known[f"s_{k}"].to_numpy() for k in range(classes)])
+        s = np.stack([known[f"s_{k}"].to_numpy(np.float64) for k in range(classes)])
         unigram = np.log10((c + 0.1) / (n_train + 0.1 * (v + 1)))
         rows = []
         for doc, text in zip(texts["doc_id"], texts["text"]):

@@ -88,11 +88,15 @@ def line_keys(lines: list[bytes], edits: int, powers: Powers) -> tuple[np.ndarra
     return keys, sig
 
 
-def may_be_near(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
-    """Byte counts differ by at most two for each edit, lengths by one."""
+def closeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minus a lower bound of the edits: byte counts differ by at most two for each edit, lengths by one."""
     gap = (x[..., :CLASSES] - y[..., :CLASSES]).view(np.int8).astype(np.int16)
     size = [z[..., CLASSES].astype(np.int32) * 256 + z[..., CLASSES + 1] for z in (x, y)]
-    return (np.abs(gap).sum(axis=-1) <= 2 * edits) & (np.abs(size[0] - size[1]) <= edits)
+    return -np.maximum((np.abs(gap).sum(axis=-1) + 1) // 2, np.abs(size[0] - size[1]))
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    return closeness(x, y) >= -edits
 
 
 def within_edits(xs: list[bytes], ys: list[bytes], edits: int) -> np.ndarray:
@@ -244,9 +248,6 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFr
     )
     sigs = rows.where("sig is not null").groupBy("id").agg(F.first("sig").alias("sig"))
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return may_be_near(x, y, edits)
-
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -257,7 +258,7 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFr
 
         return with_texts(pairs, texts_of(docs, ids)).mapInArrow(check, "a long, b long")
 
-    _, roots = link(keyed, sigs, near, SIG, verify, "lines")
+    _, roots = link(keyed, sigs, closeness, -edits, SIG, verify, "lines")
     at = rows.select("doc_id", "line_no", "n_chars", "id")
     placed = at.join(roots, "id", "left").select("doc_id", "line_no", "n_chars", F.coalesce("root", "id").alias("root"))
     firsts = placed.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("f")).where("n > 1")

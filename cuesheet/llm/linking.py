@@ -1,8 +1,8 @@
 """From buckets of candidates to verified links, without writing out the pairs of a bucket.
 
 Two rounds give the same components as all verified pairs of all buckets:
-first every member of a bucket against its leader, then only pairs that the
-first round has left in different components.
+first every member of a bucket against its most central member, then only pairs
+that the first round has left in different components.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from cuesheet.session import materialize
 
 PAIRS = "a long, b long"
 
-#: (signatures, signatures) -> may be similar, row by row; shapes broadcast, the last axis is the signature.
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: (signatures, signatures) -> closeness (higher: more alike), row by row; shapes broadcast, the last axis is the signature.
+Close = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def fixed_bytes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -35,27 +35,52 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(key, id, leader) of buckets with two ids or more; rows are (key, role, id).
+    """(key, id) of buckets with two ids or more; rows are (key, role, id).
 
     Role 0 is an entry of the index, role 1 a probe; buckets without an entry
-    fall away.  The leader is the smallest id among the entries.
+    fall away.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, "key"):
             key, role, ids = (t.column(c).to_numpy() for c in ("key", "role", "id"))
             run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            leader = ids[starts[:-1]][run]
             other = np.zeros(len(starts) - 1, bool)
-            np.logical_or.at(other, run, ids != leader)
+            np.logical_or.at(other, run, ids != ids[starts[:-1]][run])
             ok = (other & (role[starts[:-1]] == 0))[run]
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok], pa.int64()) for x in (key, ids, leader)], names=["key", "id", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok], pa.int64()) for x in (key, ids)], names=["key", "id"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "role", "id")
-    return dealt.mapInArrow(keep, "key long, id long, leader long").distinct()
+    return dealt.mapInArrow(keep, "key long, id long").distinct()
 
 
-def cross_pairs(rows: DataFrame, near: Near, width: int) -> DataFrame:
+def star_pairs(rows: DataFrame, close: Close, least: float, width: int, sample: int = 64) -> DataFrame:
+    """Pairs of the members of a bucket with its centre that may be similar; rows are (key, id, sig).
+
+    The centre is the member with the highest closeness to ``sample`` members
+    spread over the bucket: the original, where a bucket holds its variants.
+    Which member is taken decides only how much is left for the second round.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_runs(batches, "key"):
+            ids, sig = t.column("id").to_numpy(), fixed_bytes(t.column("sig"), width)
+            run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            centre = starts[:-1].copy()
+            for r in np.flatnonzero(np.diff(starts) > 2).tolist():
+                lo, hi = int(starts[r]), int(starts[r + 1])
+                some = sig[np.unique(np.linspace(lo, hi - 1, min(sample, hi - lo)).astype(np.int64))]
+                total = np.concatenate([close(sig[at : min(hi, at + 512), None], some[None]).sum(axis=1) for at in range(lo, hi, 512)])
+                centre[r] = lo + int(np.argmax(total))
+            mid = centre[run]
+            i = np.flatnonzero(mid != np.arange(len(run)))
+            i = i[close(sig[i], sig[mid[i]]) >= least]
+            yield _pairs(ids[i], ids[mid[i]])
+
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pair, PAIRS).distinct()
+
+
+def cross_pairs(rows: DataFrame, close: Close, least: float, width: int) -> DataFrame:
     """Pairs (a < b) of a bucket that lie in different components and may be similar; rows are (key, comp, id, sig)."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +92,7 @@ def cross_pairs(rows: DataFrame, near: Near, width: int) -> DataFrame:
             small = sizes[run] <= 32
             for d in range(1, min(32, int(sizes.max()))):
                 i = np.flatnonzero((run[:-d] == run[d:]) & (comp[:-d] != comp[d:]) & small[:-d])
-                i = i[near(sig[i], sig[i + d])]
+                i = i[close(sig[i], sig[i + d]) >= least]
                 if len(i):
                     yield _pairs(ids[i], ids[i + d])
             for r in np.flatnonzero(sizes > 32).tolist():
@@ -78,7 +103,7 @@ def cross_pairs(rows: DataFrame, near: Near, width: int) -> DataFrame:
                     first = lo + int(np.searchsorted(comp[lo:hi], comp[at], side="right"))
                     for col in range(first, hi, 4096):
                         end = min(hi, col + 4096)
-                        ok = near(sig[at:to, None], sig[None, col:end]) & (comp[at:to, None] < comp[None, col:end])
+                        ok = (close(sig[at:to, None], sig[None, col:end]) >= least) & (comp[at:to, None] < comp[None, col:end])
                         i, j = np.nonzero(ok)
                         if len(i):
                             yield _pairs(ids[at + i], ids[col + j])
@@ -86,38 +111,24 @@ def cross_pairs(rows: DataFrame, near: Near, width: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(pair, PAIRS).distinct()
 
 
-def near_pairs(pairs: DataFrame, sigs: DataFrame, near: Near, width: int) -> DataFrame:
-    """The pairs whose signatures say that they may be similar."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = near(fixed_bytes(b.column(2), width), fixed_bytes(b.column(3), width))
-            yield b.select([0, 1]).filter(pa.array(ok))
-
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b"
-    )
-    return both.select("a", "b", "sa", "sb").mapInArrow(keep, PAIRS)
-
-
 def link(
-    rows: DataFrame, sigs: DataFrame, near: Near, width: int, verify: Callable[[DataFrame], DataFrame], name: str
+    rows: DataFrame, sigs: DataFrame, close: Close, least: float, width: int, verify: Callable[[DataFrame], DataFrame], name: str
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and components (id, root) of ids that share a bucket and are similar.
 
     ``rows`` are (key, role, id), ``sigs`` (id, sig) with one row per id.  Every
-    pair of a bucket that ``near`` lets through either lies in one component
-    after the first round or is verified in the second, so the components are
-    those of all verified pairs.
+    pair of a bucket whose closeness is ``least`` or more either lies in one
+    component after the first round or is verified in the second, so the
+    components are those of all verified pairs.
     """
     buckets = materialize(shared_buckets(rows), f"{name}-buckets")
-    stars = buckets.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    first = materialize(verify(materialize(near_pairs(stars, sigs, near, width), f"{name}-stars")), f"{name}-links")
+    stars = materialize(star_pairs(buckets.join(sigs, "id"), close, least, width), f"{name}-stars")
+    first = materialize(verify(stars), f"{name}-links")
     roots = components(first, f"{name}-first")
     placed = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = placed.join(mixed, "key").join(sigs, "id")
-    pairs = materialize(cross_pairs(rest, near, width).join(stars, ["a", "b"], "left_anti"), f"{name}-pairs")
+    pairs = materialize(cross_pairs(rest, close, least, width).join(stars, ["a", "b"], "left_anti"), f"{name}-pairs")
     if pairs.isEmpty():
         return first, roots
     links = materialize(first.unionByName(verify(pairs)), f"{name}-links")

@@ -176,8 +176,8 @@ def near_duplicates(
     keyed = classes.select("id", F.posexplode("bands").alias("band", "key")).select("key", F.lit(0).alias("role"), "id")
     sigs = classes.select("id", "sig").dropDuplicates(["id"])
 
-    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (x == y).sum(axis=-1) >= enough
+    def equal_registers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x == y).sum(axis=-1)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -197,7 +197,7 @@ def near_duplicates(
 
         return with_texts(pairs, one).mapInArrow(check, "a long, b long")
 
-    _, roots = link(keyed, sigs, alike, m, verify, "minhash")
+    _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash")
     nodes = signed.select("doc_id", "content").join(classes.select("content", "id"), "content", "left")
     rooted = materialize(
         nodes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id", "doc_id").alias("class_id")), "near-classes"

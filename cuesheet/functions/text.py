@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,28 +38,51 @@ def strip_tags(col: Column) -> Column:
 
 
 def _entity_table() -> Column:
-    """Name to character: the named entities of HTML 4, from the standard library."""
-    names = {f"{n};": chr(c) for n, c in name2codepoint.items()}
-    names["apos;"] = "'"
-    names.update({n: ch for n, ch in html5.items() if not n.endswith(";")})
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    """Name to characters: all named entities of HTML 5, from the standard library."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _windows_table() -> Column:
+    """Code points 128 to 159, which browsers read as Windows-1252; undefined ones stand for themselves."""
+    codes = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    return F.from_json(F.lit(json.dumps(codes)), "map<string,string>")
 
 
 def decode_entities(col: Column) -> Column:
-    """Named (HTML 4 set) and numeric entities; unknown ones stay as they are."""
-    code = lambda e: F.when(
-        e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)
-    ).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1)).cast("int")
+    """Named (HTML 5) and numeric entities of any length; unknown ones stay as they are.
+
+    A name that begins with a legacy one (those without semicolon) is that one
+    and the rest; control characters and noncharacters are dropped.
+    """
+    digits = lambda e: F.regexp_extract(e, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    code = lambda e: bind(
+        digits(e),
+        lambda d: F.when(F.length(d) > 8, F.lit(0x110000))
+        .when(e.rlike("^&#[xX]"), F.coalesce(F.conv(d, 16, 10).try_cast("int"), F.when(d == "", 0).otherwise(0x110000)))
+        .otherwise(F.coalesce(d.try_cast("int"), F.lit(0))),
+    )
     char = lambda n: F.decode(
         F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"
     )
+    dropped = lambda n: (
+        n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    )
     numeric = lambda e: bind(
-        code(e), lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), char(n)).otherwise("\ufffd")
+        code(e),
+        lambda n: F.when((n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+        .when(n.between(128, 159), F.try_element_at(_windows_table(), n.cast("string")))
+        .when(dropped(n), "")
+        .otherwise(char(n)),
     )
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+    name = lambda e: F.substr(e, F.lit(2))
+    legacy = lambda e: [
+        F.concat(F.try_element_at(_entity_table(), F.substring(e, 2, k)), F.substr(e, F.lit(k + 2))) for k in range(longest, 1, -1)
+    ]
     body = lambda e: F.when(e.rlike("^&#"), numeric(e)).otherwise(
-        F.coalesce(F.try_element_at(_entity_table(), F.substring(e, 2, 64)), e)
+        F.coalesce(F.try_element_at(_entity_table(), name(e)), *legacy(e), e)
     )
-    return rewrite(col, r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)", body, gate="&")
+    return rewrite(col, r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)", body, gate="&")
 
 
 def strip_markdown(col: Column) -> Column:

@@ -31,7 +31,7 @@ def stem(word: Column) -> Column:
 def sound_key(word: Column) -> Column:
     """First letter, then consonant classes without vowels, h and doubles."""
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    rest = F.translate(F.translate(F.substring(letters, 2, 1000), V.SOUND_FROM, V.SOUND_TO), "aeiouh", "")
+    rest = F.translate(F.translate(F.substr(letters, F.lit(2)), V.SOUND_FROM, V.SOUND_TO), "aeiouh", "")
     return F.regexp_replace(F.concat(F.substring(letters, 1, 1), rest), r"(.)\1+", "$1")
 
 

@@ -158,3 +158,14 @@ def test_size_gate_checks_characters_first(spark):
     df = spark.createDataFrame([("a " * 5000,), ("b " * 1500,), ("ok",)], "text string")
     reasons = [r.size_reason for r in NZ.gate_size(df).collect()]
     assert "10000 characters" in reasons[0] and "1500 words" in reasons[1] and reasons[2] is None
+
+
+def test_entities_like_a_browser(spark):
+    import html
+
+    cases = [
+        "it&#146;s &#151; so &dollar;5", "&#00000000065;&#x00000041;", "&notit; &copyright &ampere", "&NotEqualTilde; &fjlig; &CounterClockwiseContourIntegral;",
+        "&#0; &#x110000; &#xD800; &#99999999999999999999; &#x;", "a&#1;b&#11;c&#127;d", "&unknown; &; &#; & x", "&eacute&hellip;", "&#128;&#129;&#159;",
+    ]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(X.decode_entities(F.col("t"))).collect()] == [html.unescape(c) for c in cases]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import narrow, prune_by_ids, table, words
+from cuesheet.llm.common import narrow, table, words
 from cuesheet.session import materialize
 
 #: Lengths in bytes of the word beginnings that are terms beside the whole word.
@@ -292,11 +292,19 @@ def third(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (doc_id, text, toxic): labelled, and not in the held-out third.  The higher of several labels counts."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """Training rows (doc_id, text, toxic): labelled, and not in the held-out third.  The higher of several labels counts.
+
+    The classifier is fitted on about ``max_rows`` labelled ids at most (fewer
+    labels are taken whole), drawn by a hash of the id, so the labels can be
+    broadcast whatever the input and no text is shuffled.
+    """
     known = labels.where("toxic is not null").where(third(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = materialize(known, "known-labels")
+    share = min(1.0, max_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
     texts = narrow(docs, doc_id="doc_id", text="text").where(third(F.col("doc_id")) != 1)
-    return materialize(prune_by_ids(texts, "doc_id", known.select("doc_id")).join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    return materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), "labelled")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,8 @@ def near_duplicates(
     words are one node from the start, so copies are never paired.  Candidates
     share a band (24 bands of 5 registers miss a pair at 0.8 with probability
     7e-5, a pair at 0.85 with 3e-6); every link is verified on the whole texts.
+    Pairs with too few shingles that occur in any other candidate text cannot
+    reach ``similarity`` and are left out before that.
     Null texts and texts without words are in no class but their own; texts of
     fewer than ``size`` words are one shingle.  doc_id is the key: rows that
     repeat it are one node (all kept or none); rows without id stay alone.
@@ -179,11 +181,30 @@ def near_duplicates(
     def equal_registers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x == y).sum(axis=-1)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
         # an inner join: a semi join would be pushed below the pruning
         texts = prune_by_ids(base, "doc_id", ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
-        one = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
+        return texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
+
+    def elements(ids: DataFrame) -> DataFrame:
+        """The shingles of each text, repeats told apart by their number."""
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHash()
+            for b in batches:
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    h = shingles(words(text.as_py()), hashes, size)
+                    if not len(h):
+                        continue
+                    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+                    h = mix(h + nth.astype(np.uint64) * _A).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc), pa.int64()), pa.array(h)], names=["id", "h"])
+
+        return texts_of(ids).mapInArrow(spell, "id long, h long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHash()
@@ -197,7 +218,7 @@ def near_duplicates(
 
         return with_texts(pairs, one).mapInArrow(check, "a long, b long")
 
-    _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash")
+    _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash", elements, similarity)
     nodes = signed.select("doc_id", "content").join(classes.select("content", "id"), "content", "left")
     rooted = materialize(
         nodes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id", "doc_id").alias("class_id")), "near-classes"

@@ -38,6 +38,17 @@ _ALIKE = f"""CASE WHEN p.s = p.h THEN TRUE WHEN p.s IN ({_CRIT}) OR p.h IN ({_CR
   ELSE pk <> '' AND pk = hk END"""
 
 
+def _in_order(name, src):
+    """The pairs (sp, hp) of ``src`` that cross no other: first the farthest movers of a stretch go, then all that cross."""
+    return f"""{name}_rank AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY sp) AS a, row_number() OVER (PARTITION BY clip_id ORDER BY hp) AS b FROM {src}),
+{name}_cut AS (SELECT *, max(b) OVER (PARTITION BY clip_id ORDER BY a) = a AS cut FROM {name}_rank),
+{name}_part AS (SELECT *, count(*) FILTER (WHERE cut) OVER (PARTITION BY clip_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM {name}_cut),
+{name}_far AS (SELECT *, max(abs(b - a)) OVER (PARTITION BY clip_id, part) AS far FROM {name}_part),
+{name}_near AS (SELECT * FROM {name}_far WHERE far = 0 OR (far = 1 AND b < a) OR (far > 1 AND abs(b - a) < far)),
+{name} AS (SELECT * FROM {name}_near x WHERE NOT EXISTS (
+  SELECT 1 FROM {name}_near y WHERE y.clip_id = x.clip_id AND y.part = x.part AND ((y.a < x.a AND y.b > x.b) OR (y.a > x.a AND y.b < x.b))))"""
+
+
 def _chain(pairs_sql):
     """The SQL of the diff over any ``pairs`` table, cut at its four stages."""
     tok = f"""{pairs_sql},
@@ -49,11 +60,19 @@ m AS (SELECT coalesce(a.clip_id, b.clip_id) AS clip_id, coalesce(a.w, b.w) AS w,
   FROM (SELECT * FROM num WHERE side = 0) a FULL JOIN (SELECT * FROM num WHERE side = 1) b
   ON a.clip_id = b.clip_id AND a.w = b.w AND a.k = b.k)"""
     gap = f"""{tok},
-sided AS (SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL AS hit, 0 AS side, sp AS pos, hp AS other FROM m WHERE sp IS NOT NULL
-  UNION ALL SELECT clip_id, w, sp IS NOT NULL AND hp IS NOT NULL, 1, hp, sp FROM m WHERE hp IS NOT NULL),
-marked AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, side ORDER BY pos) AS gap,
-    coalesce(hit AND side = 0 AND other < max(CASE WHEN hit THEN other END) OVER (PARTITION BY clip_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS behind
-  FROM sided),
+once AS (SELECT clip_id, w, max(pos) FILTER (WHERE side = 0) AS sp, max(pos) FILTER (WHERE side = 1) AS hp FROM tok GROUP BY clip_id, w
+  HAVING count(*) FILTER (WHERE side = 0) = 1 AND count(*) FILTER (WHERE side = 1) = 1),
+{_in_order("anchors", "once")},
+spans AS (SELECT t.*, count(n.sp) OVER (PARTITION BY t.clip_id, side ORDER BY pos) AS span FROM tok t
+  LEFT JOIN anchors n ON n.clip_id = t.clip_id AND t.pos = CASE side WHEN 0 THEN n.sp ELSE n.hp END),
+nth AS (SELECT *, row_number() OVER (PARTITION BY clip_id, side, span, w ORDER BY pos) AS k FROM spans),
+met AS (SELECT a.clip_id, a.pos AS sp, b.pos AS hp FROM nth a JOIN nth b ON a.side = 0 AND b.side = 1
+  AND a.clip_id = b.clip_id AND a.span = b.span AND a.w = b.w AND a.k = b.k),
+{_in_order("kept", "met")},
+marked AS (SELECT t.*, y.sp IS NOT NULL AS hit, x.sp IS NOT NULL AND y.sp IS NULL AND side = 0 AS behind,
+    count(y.sp) OVER (PARTITION BY t.clip_id, side ORDER BY pos) AS gap
+  FROM tok t LEFT JOIN met x ON x.clip_id = t.clip_id AND t.pos = CASE side WHEN 0 THEN x.sp ELSE x.hp END
+  LEFT JOIN kept y ON y.clip_id = t.clip_id AND t.pos = CASE side WHEN 0 THEN y.sp ELSE y.hp END),
 gaps AS (SELECT clip_id, CAST(gap AS BIGINT) AS gap, count(*) FILTER (WHERE side = 0) AS sent_words, count(*) FILTER (WHERE side = 1) AS spoken_words,
     count(*) FILTER (WHERE hit AND side = 0) AS matched, count(*) FILTER (WHERE behind) AS reordered,
     coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 0), []) AS a, coalesce(list(w ORDER BY pos) FILTER (WHERE NOT hit AND side = 1), []) AS b
@@ -149,7 +168,7 @@ SELECT clip_id, CAST(sum(s) AS BIGINT) AS sent_words, CAST(sum(h) AS BIGINT) AS
 
 
 def pair_substitutions(spark, sf):
-    rows = D.pair_substitutions(D.gaps(D.match_occurrences(_tok(spark, sf))))
+    rows = D.pair_substitutions(D.gaps(D.align(_tok(spark, sf))))
     return rows.groupBy("kind").agg(
         F.count(F.lit(1)).alias("gaps"), F.sum(F.size("a")).alias("sent"), F.sum(F.size("b")).alias("heard")
     )

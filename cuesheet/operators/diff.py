@@ -99,41 +99,71 @@ def _word_list(cond: Column, order: Column) -> Column:
     return F.transform(picked, lambda s: s["w"])
 
 
-def gaps(matches: DataFrame, key: str = "clip_id") -> DataFrame:
+def _keep_order(rows: DataFrame, pair: list[str], key: str) -> DataFrame:
+    """Set ``hit`` to false where a matched pair crosses others; ``pair`` names a pair within its clip.
+
+    Matched words are ranked on both sides and cut into stretches that hold the
+    same ranks on both.  In a stretch with crossings the pairs that moved
+    farthest go (of two neighbours that change places, the one said later), and
+    of the others all that still cross.
+    """
+    own = Window.partitionBy(key, "side").orderBy("pos")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    after = own.rowsBetween(1, Window.unboundedFollowing)
+    rank, other, hit = F.col("__rank"), F.col("__other"), F.col("hit")
+    ranked = rows.withColumn("__rank", F.sum(hit.cast("long")).over(upto))
+    # the two ranks of a pair, less the own one
+    both = F.sum(F.when(hit, rank)).over(Window.partitionBy(key, *pair))
+    ranked = ranked.withColumn("__other", F.when(hit, both - rank))
+    ranked = ranked.withColumn("__cut", hit & (F.max(other).over(upto) == rank))
+    ranked = ranked.withColumn("__stretch", F.coalesce(F.sum(F.col("__cut").cast("long")).over(before), F.lit(0)))
+    ranked = ranked.withColumn("__far", F.max(F.abs(other - rank)).over(Window.partitionBy(key, "side", "__stretch")))
+    far, later = F.col("__far"), F.when(F.col("side") == SENT, other - rank).otherwise(rank - other)
+    near = F.when(far == 0, True).when(far == 1, later <= 0).otherwise(F.abs(other - rank) < far)
+    ranked = ranked.withColumn("__stays", hit & near)
+    seen = F.when(F.col("__stays"), other)
+    in_order = F.coalesce(F.max(seen).over(before) < other, F.lit(True)) & F.coalesce(F.min(seen).over(after) > other, F.lit(True))
+    kept = ranked.withColumn("hit", F.coalesce(F.col("__stays") & in_order, F.lit(False)))
+    return kept.drop("__rank", "__other", "__cut", "__stretch", "__far", "__stays")
+
+
+def align(tok: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Add ``hit`` (the word is matched, in order) and ``moved`` (it would match, but out of order) to every token.
+
+    Words that occur once on both sides, in the same order, are anchors.
+    Between two anchors the k-th sent occurrence of a word meets the k-th spoken
+    one, and pairs that cross are undone.  All windows use the spread by clip.
+    """
+    on = lambda side: F.count_if(F.col("side") == side)
+    word = Window.partitionBy(key, "w")
+    once = tok.withColumn("hit", F.coalesce((on(SENT).over(word) == 1) & (on(SPOKEN).over(word) == 1), F.lit(False)))
+    upto = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    spans = _keep_order(once, ["w"], key).withColumn("__span", F.sum(F.col("hit").cast("long")).over(upto))
+    nth = Window.partitionBy(key, "side", "w", "__span").orderBy("pos")
+    pair = ["w", "__span", "__k"]
+    met = Window.partitionBy(key, *pair)
+    found = spans.withColumn("__k", F.row_number().over(nth)).withColumn("hit", (on(SENT).over(met) == 1) & (on(SPOKEN).over(met) == 1))
+    kept = _keep_order(found.withColumn("__met", F.col("hit")), pair, key)
+    return kept.withColumn("moved", F.col("__met") & ~F.col("hit")).drop("__met", "__span", "__k")
+
+
+def gaps(aligned: DataFrame, key: str = "clip_id") -> DataFrame:
     """Unmatched words between the same two matches, one row per gap.
 
     The gap number is the count of matched words before the word on its own
     side, so both sides of a replaced span meet under one number.
     """
-    sided = matches.select(
-        key,
-        "w",
-        "same_n",
-        (F.col("sent_pos").isNotNull() & F.col("spoken_pos").isNotNull()).alias("hit"),
-        F.explode_outer(
-            F.filter(
-                F.array(
-                    F.struct(F.lit(SENT).alias("side"), F.col("sent_pos").alias("pos"), F.col("spoken_pos").alias("other")),
-                    F.struct(F.lit(SPOKEN).alias("side"), F.col("spoken_pos").alias("pos"), F.col("sent_pos").alias("other")),
-                ),
-                lambda s: s["pos"].isNotNull(),
-            )
-        ).alias("at"),
-    )
-    sided = sided.select(key, "w", "same_n", "hit", "at.side", "at.pos", "at.other")
-    order = Window.partitionBy(key, "side").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = sided.withColumn("gap", F.coalesce(F.sum(F.col("hit").cast("long")).over(upto), F.lit(0))).withColumn(
-        "behind", F.col("hit") & (F.col("side") == SENT) & (F.col("other") < F.max(F.when(F.col("hit"), F.col("other"))).over(before))
-    )
+    upto = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = aligned.withColumn("gap", F.coalesce(F.sum(F.col("hit").cast("long")).over(upto), F.lit(0)))
     is_sent, is_spoken = F.col("side") == SENT, F.col("side") == SPOKEN
+    same = F.max("same_n") if "same_n" in aligned.columns else F.max(F.lit(None).cast("int"))
     return marked.groupBy(key, "gap").agg(
         F.count_if(is_sent).alias("sent_words"),
         F.count_if(is_spoken).alias("spoken_words"),
         F.count_if(F.col("hit") & is_sent).alias("matched"),
-        F.count_if("behind").alias("reordered"),
-        F.max("same_n").alias("same_n"),
+        F.count_if(F.col("moved") & is_sent).alias("reordered"),
+        same.alias("same_n"),
         _word_list(~F.col("hit") & is_sent, F.col("pos")).alias("a"),
         _word_list(~F.col("hit") & is_spoken, F.col("pos")).alias("b"),
     )
@@ -165,7 +195,7 @@ def pair_substitutions(gap_rows: DataFrame, threshold: float = V.SIMILARITY) ->
 
 def diff_tokens_table(tok: DataFrame, key: str = "clip_id", threshold: float = V.SIMILARITY) -> DataFrame:
     """The word diff of every clip in a token table."""
-    rows = pair_substitutions(gaps(match_occurrences(tok, key), key), threshold)
+    rows = pair_substitutions(gaps(align(tok, key), key), threshold)
     in_order = lambda c: F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("gap").alias("g"), F.col(c).alias("v")))), lambda s: s["v"]
     )
@@ -200,8 +230,8 @@ def diff_tokens_table(tok: DataFrame, key: str = "clip_id", threshold: float = V
 def word_diff(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id") -> DataFrame:
     """Word diff of ``(clip_id, sent, spoken)`` rows, counts respected.
 
-    Matching is by occurrence, so ``word_accuracy`` is an upper bound when words
-    move; ``reordered`` counts the moved ones.
+    Words match in order (see ``align``): a moved word is dropped at one place
+    and inserted at another; ``reordered`` counts the moved ones.
     """
     return diff_tokens_table(unequal_tokens(token_lists(pairs, spoken_form, key), key), key)
 

@@ -29,7 +29,7 @@ class WordHash(dict):
     """64-bit hash of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -139,7 +139,7 @@ def sign(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 contents.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
                 bags.append(shingles(ws, hashes, size))
                 total += len(bags[-1])
-                if total > 400_000 or len(ids) >= 4000:
+                if total > 100_000 or len(ids) >= 4000:
                     yield signed(ids, contents, bags)
                     ids, contents, bags, total = [], [], [], 0
         if ids:

@@ -80,63 +80,71 @@ def star_pairs(rows: DataFrame, close: Close, least: float, width: int, sample:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pair, PAIRS).distinct()
 
 
+def histogram(hashes: np.ndarray, bins: int = 512) -> bytes:
+    """How many elements of a multiset fall into each of ``bins`` bins (a power of two), a byte each; 255: that many or more."""
+    return np.minimum(np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(similarity: float, size: np.ndarray, bag: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of multisets, given by size and histogram, can have that Jaccard similarity.
+
+    Equal elements share a bin, so two multisets have at most the sum of the
+    smaller counts of each bin in common.  Pairs that are full in the same bin
+    have no bound and stay.
+    """
+    least = np.minimum(bag[i], bag[j])
+    common = least.sum(axis=1, dtype=np.int64)
+    return (common >= similarity * (size[i] + size[j] - common) - 1e-6) | (least == 255).any(axis=1)
+
+
 def cross_pairs(rows: DataFrame, close: Close, least: float, width: int, similarity: float | None = None) -> DataFrame:
     """Pairs (a < b) of a bucket that lie in different components and may be similar.
 
-    Rows are (key, comp, id, sig), and with ``similarity`` also (size, shared):
-    how many elements the id has, and how many of them occur elsewhere too.  A
-    pair has at most ``min(shared)`` elements in common, so its Jaccard
-    similarity has a bound; pairs whose bound is too low are not written.
+    Rows are (key, comp, id, sig), and with ``similarity`` also (size, bag): the
+    number of elements and their ``histogram``.  Pairs whose histograms rule the
+    Jaccard ``similarity`` out are not written.
     """
-    numbers = ["size", "shared"] if similarity is not None else []
+    numbers = ["size", "bag"] if similarity is not None else []
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, "key"):
             comp, ids = t.column("comp").to_numpy(), t.column("id").to_numpy()
             sig = fixed_bytes(t.column("sig"), width)
-            size, shared = (t.column(c).to_numpy() for c in numbers) if numbers else (None, None)
-
-            def can_be(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                if size is None:
-                    return np.ones(np.broadcast_shapes(i.shape, j.shape), bool)
-                common = np.minimum(shared[i], shared[j])
-                return common >= similarity * (size[i] + size[j] - common) - 1e-6
+            if numbers:
+                size = t.column("size").to_numpy()
+                bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(len(size), -1)
+
+            def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                ok = close(sig[i], sig[j]) >= least
+                i, j = i[ok], j[ok]
+                if numbers and len(i):
+                    ok = may_reach(similarity, size, bag, i, j)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    yield _pairs(ids[i], ids[j])
 
             run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             sizes = np.diff(starts)
             small = sizes[run] <= 32
             for d in range(1, min(32, int(sizes.max()))):
                 i = np.flatnonzero((run[:-d] == run[d:]) & (comp[:-d] != comp[d:]) & small[:-d])
-                i = i[can_be(i, i + d)]
-                i = i[close(sig[i], sig[i + d]) >= least]
-                if len(i):
-                    yield _pairs(ids[i], ids[i + d])
+                for at in range(0, len(i), 65536):
+                    yield from near(i[at : at + 65536], i[at : at + 65536] + d)
             for r in np.flatnonzero(sizes > 32).tolist():
                 lo, hi = int(starts[r]), int(starts[r + 1])
                 for at in range(lo, hi, 64):
                     x = np.arange(at, min(hi, at + 64))
                     # rows are sorted by component: only later components are new
                     first = lo + int(np.searchsorted(comp[lo:hi], comp[at], side="right"))
-                    for col in range(first, hi, 4096):
-                        y = np.arange(col, min(hi, col + 4096))
-                        i, j = np.nonzero((comp[x, None] < comp[None, y]) & can_be(x[:, None], y[None]))
-                        i, j = x[i], y[j]
-                        near = close(sig[i], sig[j]) >= least
-                        if near.any():
-                            yield _pairs(ids[i[near]], ids[j[near]])
+                    for col in range(first, hi, 1024):
+                        y = np.arange(col, min(hi, col + 1024))
+                        i, j = np.nonzero(comp[x, None] < comp[None, y])
+                        yield from near(x[i], y[j])
 
     columns = ["key", "comp", "id", "sig", *numbers]
     return rows.select(columns).repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(pair, PAIRS).distinct()
 
 
-def shared_elements(elements: DataFrame, name: str) -> DataFrame:
-    """(id, size, shared): how many elements an id has, and how many of them another row of (id, h) has too."""
-    held = materialize(elements, name)
-    size = held.groupBy("id").agg(F.count("*").alias("size"))
-    alone = held.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    return size.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-
-
 def link(
     rows: DataFrame,
     sigs: DataFrame,
@@ -145,7 +153,7 @@ def link(
     width: int,
     verify: Callable[[DataFrame], DataFrame],
     name: str,
-    elements: Callable[[DataFrame], DataFrame] | None = None,
+    bags: Callable[[DataFrame], DataFrame] | None = None,
     similarity: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and components (id, root) of ids that share a bucket and are similar.
@@ -153,9 +161,9 @@ def link(
     ``rows`` are (key, role, id), ``sigs`` (id, sig) with one row per id.  Every
     pair of a bucket whose closeness is ``least`` or more either lies in one
     component after the first round or is verified in the second, so the
-    components are those of all verified pairs.  ``elements`` gives (id, h), one
-    row per element, of the ids it is given; with it the second round leaves out
-    pairs that cannot reach the Jaccard ``similarity`` (see ``cross_pairs``).
+    components are those of all verified pairs.  ``bags`` gives (id, size, bag) of
+    the ids it is given; with it the second round leaves out pairs that cannot
+    reach the Jaccard ``similarity`` (see ``cross_pairs``).
     """
     buckets = materialize(shared_buckets(rows), f"{name}-buckets")
     stars = materialize(star_pairs(buckets.join(sigs, "id"), close, least, width), f"{name}-stars")
@@ -164,10 +172,10 @@ def link(
     placed = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = placed.join(mixed, "key")
-    if elements is not None:
+    if bags is not None:
         rest = materialize(rest, f"{name}-rest")
-        rest = rest.join(shared_elements(elements(rest.select("id").distinct()), f"{name}-elements"), "id")
-    pairs = materialize(cross_pairs(rest.join(sigs, "id"), close, least, width, similarity if elements else None).join(stars, ["a", "b"], "left_anti"), f"{name}-pairs")
+        rest = rest.join(materialize(bags(rest.select("id").distinct()), f"{name}-bags"), "id")
+    pairs = materialize(cross_pairs(rest.join(sigs, "id"), close, least, width, similarity if bags else None).join(stars, ["a", "b"], "left_anti"), f"{name}-pairs")
     if pairs.isEmpty():
         return first, roots
     links = materialize(first.unionByName(verify(pairs)), f"{name}-links")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.llm.common import narrow, prune_by_ids, table, words
-from cuesheet.llm.linking import link, with_texts
+from cuesheet.llm.linking import histogram, link, with_texts
 from cuesheet.session import materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -55,6 +55,13 @@ def multiset(sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_hashes[first], np.diff(np.append(first, len(sorted_hashes)))
 
 
+def numbered(sorted_hashes: np.ndarray) -> np.ndarray:
+    """The multiset as a set: repeats are told apart by their number."""
+    n = multiset(sorted_hashes)[1]
+    nth = np.arange(len(sorted_hashes)) - np.repeat(np.cumsum(n) - n, n)
+    return mix(sorted_hashes + nth.astype(np.uint64) * _A)
+
+
 def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Shared over joint size of two multisets, given as sorted hashes; two empty ones share nothing."""
     (xv, xn), (yv, yn) = multiset(x), multiset(y)
@@ -159,8 +166,8 @@ def near_duplicates(
     words are one node from the start, so copies are never paired.  Candidates
     share a band (24 bands of 5 registers miss a pair at 0.8 with probability
     7e-5, a pair at 0.85 with 3e-6); every link is verified on the whole texts.
-    Pairs with too few shingles that occur in any other candidate text cannot
-    reach ``similarity`` and are left out before that.
+    Pairs whose shingle histograms rule ``similarity`` out are left out before
+    that.
     Null texts and texts without words are in no class but their own; texts of
     fewer than ``size`` words are one shingle.  doc_id is the key: rows that
     repeat it are one node (all kept or none); rows without id stay alone.
@@ -186,22 +193,17 @@ def near_duplicates(
         texts = prune_by_ids(base, "doc_id", ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
         return texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
 
-    def elements(ids: DataFrame) -> DataFrame:
-        """The shingles of each text, repeats told apart by their number."""
+    def bags(ids: DataFrame) -> DataFrame:
+        """Number of shingles and their histogram, of each text."""
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHash()
             for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    h = shingles(words(text.as_py()), hashes, size)
-                    if not len(h):
-                        continue
-                    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-                    h = mix(h + nth.astype(np.uint64) * _A).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc), pa.int64()), pa.array(h)], names=["id", "h"])
+                found = [numbered(shingles(words(t.as_py()), hashes, size)) for t in b.column(1)]
+                cols = [b.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(histogram, found), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "bag"])
 
-        return texts_of(ids).mapInArrow(spell, "id long, h long")
+        return texts_of(ids).mapInArrow(spell, "id long, size long, bag binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -218,7 +220,7 @@ def near_duplicates(
 
         return with_texts(pairs, one).mapInArrow(check, "a long, b long")
 
-    _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash", elements, similarity)
+    _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash", bags, similarity)
     nodes = signed.select("doc_id", "content").join(classes.select("content", "id"), "content", "left")
     rooted = materialize(
         nodes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id", "doc_id").alias("class_id")), "near-classes"

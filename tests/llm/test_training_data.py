@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.llm import chat_format, decontaminate, exact_dedup, line_dedup, minhash, packing, pii, ppm, repeats, toxicity
+from cuesheet.llm import chat_format, decontaminate, exact_dedup, line_dedup, linking, minhash, packing, pii, ppm, repeats, toxicity
 from cuesheet.llm.common import components, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, sig string"
@@ -339,3 +339,24 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in minhash.near_duplicates(lines).where("kept").collect()}
     clean = {r["doc_id"] for r in decontaminate.decontaminate(lines, spark.read.parquet(f"{SF}/benchmark.parquet")).where("not contaminated").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == kept & clean
+
+
+def test_histogram_bound_never_rules_out_a_similar_pair():
+    """Second round of near-dedup: a pair at 0.8 or more always stays, repeats of one shingle included."""
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64), np.full(300_000, 7, np.uint64)]
+    for n in (1, 4, 40, 900):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for change in (0, 0.05, 0.1, 0.15, 0.5):
+            cut = base.copy()
+            gone = rng.random(n) < change
+            cut[gone] = rng.integers(0, 2**63, int(gone.sum())).astype(np.uint64)
+            sets += [np.sort(cut), np.sort(np.concatenate((cut, np.full(n // 5, cut[0]))))]
+    size = np.array([len(x) for x in sets])
+    bag = np.stack([np.frombuffer(linking.histogram(minhash.numbered(x)), np.uint8) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    kept = linking.may_reach(0.8, size, bag, i, j)
+    similar = np.array([minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8 for a, b in zip(i, j)])
+    assert similar.sum() > 10
+    assert kept[similar].all()
+    assert not kept[~similar & (size[i] > 500) & (size[j] > 500) & (size[i] < 10_000) & (size[j] < 10_000)].all()

@@ -139,7 +139,7 @@ def block_words(placed: DataFrame, classes: int) -> DataFrame:
         current = None
 
         def flush():
-            words = list(others.union(*counts))
+            words = sorted(others.union(*counts))  # neighbours share prefixes: smaller tables and shuffle files
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
                 cols = [pa.array([current] * len(part), pa.int64()), pa.array(part, pa.binary())]

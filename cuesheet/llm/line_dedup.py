@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import encode, narrow, table
+from cuesheet.llm.common import encode, narrow, prune_by_ids, table, words
 from cuesheet.llm.linking import link, with_texts
-from cuesheet.llm.minhash import mix
+from cuesheet.llm.minhash import WordHash, mix, shingles, weighted_jaccard
 from cuesheet.session import materialize
 
 CLASSES = 16
@@ -234,7 +234,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """(doc_id, line_no, n_chars, root, first): lines in a class of two or more, and whether they come first in it.
+    """(doc_id, line_no, n_chars, root, first, source): lines in a class of two or more, whether they come first in it, and the document of the first.
 
     Lines of ``min_chars`` code points or more are linked within ``edits``
     insertions, deletions or substitutions of UTF-8 bytes; classes are the
@@ -263,71 +263,134 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFr
     placed = at.join(roots, "id", "left").select("doc_id", "line_no", "n_chars", F.coalesce("root", "id").alias("root"))
     firsts = placed.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("f")).where("n > 1")
     return placed.join(firsts, "root").select(
-        "doc_id", "line_no", "n_chars", "root", ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))).alias("first")
+        "doc_id",
+        "line_no",
+        "n_chars",
+        "root",
+        ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))).alias("first"),
+        F.col("f.doc_id").alias("source"),
     )
 
 
+def whole_copies(base: DataFrame, linked: DataFrame, max_share: float, similarity: float) -> DataFrame:
+    """(copy) ids of documents that document dedup removes as they are.
+
+    Asked are documents whose repeated lines hold more than ``max_share`` of
+    their characters.  Such a document is compared, as a whole, with what stays
+    of the earlier document that most of these characters come first in: the
+    multisets of their word shingles must reach the weighted Jaccard
+    ``similarity``.  An earlier document that is asked itself speaks for none, as
+    what stays of it is not known yet; ids with several rows are never copies.
+    """
+    repeated = linked.where("not first")
+    by_source = repeated.groupBy("doc_id", "source").agg(F.sum("n_chars").alias("chars"))
+    other = F.when(F.col("source") != F.col("doc_id"), F.struct("chars", (-F.col("source")).alias("back")))
+    best = by_source.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.max(other).alias("best"))
+    sizes = base.select("doc_id", F.length("text").alias("size"))
+    asked = materialize(
+        best.join(sizes, "doc_id").where(F.col("chars") > max_share * F.col("size"))
+        .select((-F.col("best.back")).alias("a"), F.col("doc_id").alias("b")).distinct(),
+        "asked",
+    )
+    pairs = asked.where("a is not null").join(asked.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # an inner join: a semi join would be pushed below the pruning
+    texts = prune_by_ids(base, "doc_id", ids).join(ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.count("*").alias("n"))
+    gone = repeated.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rest = []
+            for text, lines in zip(b.column(1), b.column(2).to_pylist()):
+                drop = set(lines or ())
+                rest.append("\n".join(x for no, x in enumerate(split_lines(text.as_py())) if no not in drop))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rest, pa.string())], names=["id", "text"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for b in batches:
+            ok = [
+                weighted_jaccard(shingles(words(x.as_py()), hashes), shingles(words(y.as_py()), hashes)) >= similarity
+                for x, y in zip(b.column(2), b.column(3))
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(ok, pa.bool_()))], names=["copy"])
+
+    # the source has the smaller id, so its text comes first in the pair
+    left = texts.where("n = 1").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(strip, "id long, text string")
+    return with_texts(pairs, left).mapInArrow(check, "copy long")
+
+
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, max_share: float = 0.5
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    edits: int = 2,
+    min_chars: int = 24,
+    max_share: float = 0.5,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """One row per document: doc_id, text without its repeated lines, n_lines, n_repeated, n_dropped, class_ids.
 
     A line is repeated if an earlier line (smaller doc_id, then line number) is
-    in its class.  Repeated lines are dropped from a document, unless they hold
-    more than ``max_share`` of its characters: such a document is a copy as a
-    whole, and is left whole for document dedup instead of being cut to
-    fragments.  ``class_ids`` are the classes of its lines that have company, in
-    line order.  Null text stays null and has one empty line; doc_id is the
-    key: rows that repeat it share their classes; rows without id are left alone.
+    in its class.  Repeated lines are dropped, whatever they hold of the
+    document.  Only a document that is shown to be a copy as a whole is left
+    whole for document dedup: its repeated lines hold more than ``max_share`` of
+    its characters, and it reaches the shingle ``similarity`` with what stays of
+    one earlier document (see ``whole_copies``).  ``class_ids`` are the classes of its lines
+    that have company, in line order.  Null text stays null and has one empty
+    line; doc_id is the key: rows that repeat it share their classes; rows
+    without id are left alone.
     """
     base = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    lists = _lists(base, edits, min_chars)
+    lists = _lists(base, edits, min_chars, max_share, similarity)
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     names = ["doc_id", "text", "n_lines", "n_repeated", "n_dropped", "class_ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in names]
-            for doc, text, lines in zip(*(c.to_pylist() for c in b.columns)):
-                kept, n, repeated, dropped, known = _cut(text, lines, max_share)
+            for doc, text, lines, whole in zip(*(c.to_pylist() for c in b.columns)):
+                kept, n, repeated, dropped, known = _cut(text, lines, whole)
                 for c, v in zip(cols, (doc, kept, n, repeated, dropped, [known[no]["root"] for no in sorted(known)])):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     ddl = "doc_id long, text string, n_lines long, n_repeated long, n_dropped long, class_ids array<long>"
-    return base.join(lists, base["doc_id"] == lists["__id"], "left").select("doc_id", "text", "__lines").mapInArrow(cut, ddl)
+    return base.join(lists, base["doc_id"] == lists["__id"], "left").select("doc_id", "text", "__lines", "__whole").mapInArrow(cut, ddl)
 
 
-def _lists(base: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(__id, __lines): the lines of a document that have company."""
-    linked = line_classes(base.where("doc_id is not null"), edits, min_chars)
-    row = F.struct("line_no", "root", "first", "n_chars")
-    return linked.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(row).alias("__lines"))
+def _lists(base: DataFrame, edits: int, min_chars: int, max_share: float, similarity: float) -> DataFrame:
+    """(__id, __lines, __whole): the lines of a document that have company, and whether it is left whole."""
+    named = base.where("doc_id is not null")
+    linked = materialize(line_classes(named, edits, min_chars), "linked")
+    row = F.struct("line_no", "root", "first")
+    lists = linked.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(row).alias("__lines"))
+    copies = whole_copies(named, linked, max_share, similarity)
+    return lists.join(copies, lists["__id"] == copies["copy"], "left").select("__id", "__lines", F.col("copy").isNotNull().alias("__whole"))
 
 
-def _cut(text: str | None, lines: list[dict] | None, max_share: float) -> tuple[str | None, int, int, int, dict]:
+def _cut(text: str | None, lines: list[dict] | None, whole: bool | None) -> tuple[str | None, int, int, int, dict]:
     """The text that stays; numbers of lines, repeated and dropped lines; the lines with company by number."""
     all_lines = split_lines(text)
     known = {x["line_no"]: x for x in lines or [] if x["line_no"] < len(all_lines)}
     repeated = {no for no, x in known.items() if not x["first"]}
-    chars = sum(len(all_lines[no]) for no in repeated)
-    drop = repeated if chars <= max_share * len(text or "") else set()
+    drop = set() if whole else repeated
     kept = text if not drop else "\n".join(x for no, x in enumerate(all_lines) if no not in drop)
     return kept, len(all_lines), len(repeated), len(drop), known
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, max_share: float = 0.5) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, max_share: float = 0.5, similarity: float = 0.8) -> DataFrame:
     """The rows of documents (doc_id, text, n_chars and any other columns) without their repeated lines."""
     base = narrow(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    lists = _lists(base, edits, min_chars)
+    lists = _lists(base, edits, min_chars, max_share, similarity)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
-            lines = b.column(at["__lines"])
-            b = b.select([n for n in b.schema.names if n != "__lines"])
+            lines, whole = b.column(at["__lines"]), b.column(at["__whole"]).to_pylist()
+            b = b.select([n for n in b.schema.names if n not in ("__lines", "__whole")])
             texts = b.column(at["text"]).to_pylist()
-            kept = [_cut(t, x.as_py(), max_share)[0] for t, x in zip(texts, lines)]
+            kept = [_cut(t, x.as_py(), w)[0] for t, x, w in zip(texts, lines, whole)]
             b = b.set_column(at["text"], b.schema.field(at["text"]), pa.array(kept, b.schema.field(at["text"]).type))
             if "n_chars" in at:
                 old = b.schema.field(at["n_chars"])
@@ -336,7 +399,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, ma
             yield b
 
     joined = docs.join(lists, docs["doc_id"] == lists["__id"], "left").drop("__id")
-    return joined.select(*docs.columns, "__lines").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "__lines", "__whole").mapInArrow(cut, docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,24 @@ def test_lines(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_a_document_of_mostly_repeated_lines_is_cut_unless_it_is_a_copy(spark):
+    rng = random.Random(17)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    shared, own, other = [line() for _ in range(7)], [line() for _ in range(3)], [line() for _ in range(40)]
+    rows = [
+        (1, "\n".join(shared + other)),
+        (2, "\n".join(shared + own)),  # 70 % repeated, no near-duplicate of document 1
+        (3, "\n".join(shared + other)),  # a copy as a whole
+        (4, "\n".join([shared[0]] * 9)),
+    ]
+    got = collect(line_dedup.line_dedup(frame(spark, rows)))
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == rows[2][1]
+    assert got[2]["text"] == "\n".join(own) and got[4]["text"] == ""
+    assert [got[d]["n_dropped"] for d in (1, 2, 3, 4)] == [0, 7, 0, 9]
+    stage = collect(line_dedup.drop_repeated_lines(frame(spark, rows)))
+    assert all(stage[d]["text"] == got[d]["text"] for d in got)
+
+
 def test_decontaminate(spark):
     rows = texts(8)
     items = [(1, " ".join((rows[20][1] or "x").split()[2:25])), (2, "b a"), (3, None), (4, "..."), (None, "a"), (5, "a"), (5, "b")]

@@ -55,6 +55,8 @@ def phrases(texts: list[bytes], length: int, powers: Powers) -> tuple[np.ndarray
     half = length // 2
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) > 1 << 24:
+        raise ValueError("places have 24 bits: cut longer texts into stretches")
     rolling = Rolling(data, powers)
     hashes = rolling.everywhere(TRIGGER)
     low = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
@@ -101,6 +103,23 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = 1_500_000) -> Iterator
         yield rows, texts
 
 
+def stretches(texts: list[bytes], length: int, size: int = 1 << 22) -> Iterator[tuple[np.ndarray, int, list[bytes]]]:
+    """Parts of the texts for ``phrases``: number of the text of each, offset in it, the parts.
+
+    Texts of up to ``size`` window starts go together as they are, longer ones
+    in stretches of ``size`` starts each, which overlap by ``length`` - 1 bytes:
+    every window of a text is in exactly one part.  A phrase that is cut keeps
+    its anchor, and with it the core.
+    """
+    short = [k for k, t in enumerate(texts) if len(t) < size + length]
+    if short:
+        yield np.array(short), 0, [texts[k] for k in short]
+    for k, t in enumerate(texts):
+        if len(t) >= size + length:
+            for at in range(0, len(t) - length + 1, size):
+                yield np.array([k]), at, [t[at : at + size + length - 1]]
+
+
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     """Byte ranges (doc_id, version, lo, hi) covered by repeated strings; docs are (doc_id, version, text).
 
@@ -114,11 +133,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for rows, texts in chunks(batches):
-            owner, first, past, anchor, core, hood = phrases(texts, length, powers)
-            ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(owner))
-            versions = np.array([r[1] for r in rows], np.int64)[owner]
-            cols = [pa.array(core.view(np.int64)), pa.array(hood.view(np.int64)), ids, pa.array(versions), *(pa.array(x.astype(np.int32)) for x in (first, past, anchor))]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in PHRASE])
+            for number, offset, parts in stretches(texts, length):
+                owner, *places, core, hood = phrases(parts, length, powers)
+                owner = number[owner]
+                ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(owner))
+                versions = np.array([r[1] for r in rows], np.int64)[owner]
+                cols = [pa.array(core.view(np.int64)), pa.array(hood.view(np.int64)), ids, pa.array(versions), *(pa.array((x + offset).astype(np.int32)) for x in places)]
+                yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in PHRASE])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, inner in with_neighbours(batches):

@@ -323,6 +323,18 @@ def test_repeats(spark):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
 
 
+def test_repeats_beyond_16_mib(spark):
+    """One text over 2**24 bytes; what it repeats lies behind that, once across the edge of a stretch."""
+    rng = np.random.default_rng(5)
+    body = (rng.integers(0, 26, 21_500_000) + 97).astype(np.uint8).tobytes().decode()
+    edge = 5 << 22  # where the sixth stretch begins
+    rows = [(1, body), (2, "A" + body[20_900_000:20_900_450] + "B"), (3, body[edge - 300 : edge + 300]), (4, body[17_000_000:17_000_399])]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, rows), with_text=True).collect()}
+    spans = {d: [(s["lo"], s["hi"]) for s in r["spans"]] for d, r in got.items()}
+    assert spans[2] == [(1, 451)] and spans[3] == [(0, 600)] and spans[4] == []
+    assert spans[1] == [(20_900_000, 20_900_450), (edge - 300, edge + 300)]
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     bad = ["grimple", "snorkum", "blatfex"]

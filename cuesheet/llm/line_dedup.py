@@ -16,7 +16,7 @@ from cuesheet.llm.minhash import WordHash, mix, shingles, weighted_jaccard
 from cuesheet.session import materialize
 
 CLASSES = 16
-#: Bytes of a line's signature: how often each class of bytes occurs (modulo 256), and the length.
+#: Bytes of a line's signature: how often each class of bytes occurs (modulo 256), and the length (modulo 65,536).
 SIG = CLASSES + 2
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 2**64)
@@ -89,10 +89,11 @@ def line_keys(lines: list[bytes], edits: int, powers: Powers) -> tuple[np.ndarra
 
 
 def closeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Minus a lower bound of the edits: byte counts differ by at most two for each edit, lengths by one."""
+    """Minus a lower bound of the edits: byte counts differ by at most two for each edit, lengths by one (both around their modulus)."""
     gap = (x[..., :CLASSES] - y[..., :CLASSES]).view(np.int8).astype(np.int16)
     size = [z[..., CLASSES].astype(np.int32) * 256 + z[..., CLASSES + 1] for z in (x, y)]
-    return -np.maximum((np.abs(gap).sum(axis=-1) + 1) // 2, np.abs(size[0] - size[1]))
+    apart = np.abs(size[0] - size[1])
+    return -np.maximum((np.abs(gap).sum(axis=-1) + 1) // 2, np.minimum(apart, 65536 - apart))
 
 
 def may_be_near(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:

@@ -192,6 +192,13 @@ def test_lines(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_lengths_on_both_sides_of_65536_are_compared():
+    lines = [b"ab" * 32767 + b"c", b"ab" * 32767 + b"cd"]
+    sig = line_dedup.line_keys(lines, 2, line_dedup.Powers())[1]
+    assert [len(x) for x in lines] == [65535, 65536]
+    assert line_dedup.may_be_near(sig[:1], sig[1:], 2).all()
+
+
 def test_a_document_of_mostly_repeated_lines_is_cut_unless_it_is_a_copy(spark):
     rng = random.Random(17)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8))

@@ -36,7 +36,7 @@ class Index:
     """Unit TF-IDF vectors of the examples, term by term, in blocks with their largest weights."""
 
     terms: dict[bytes, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times how much the term tells the classes apart
     weights: np.ndarray  # terms x examples
     toxic: np.ndarray
     ids: np.ndarray
@@ -55,7 +55,7 @@ class Index:
         if not len(ids):
             return ids, np.zeros(0, np.float32)
         w = (1 + np.log([counts[i] for i in ids.tolist()])) * self.idf[ids]
-        return ids, (w / np.sqrt((w * w).sum())).astype(np.float32)
+        return ids, (w / max(np.sqrt((w * w).sum()), 1e-30)).astype(np.float32)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine and their cosines, exactly; ties by position.
@@ -167,17 +167,21 @@ def class_counts(examples: DataFrame) -> DataFrame:
 
 
 def fit(
-    examples: DataFrame, max_terms: int = 2048, max_examples: int = 4096, min_z: float = 6.0, k: int = 15
+    examples: DataFrame, max_terms: int = 2048, max_examples: int = 4096, k: int = 15
 ) -> Model:
     """The index and its calibration from labelled texts (doc_id, text, toxic).
 
-    Terms are kept where the share of toxic texts that hold them exceeds the
-    share of others by ``min_z`` standard errors; ``max_terms`` bounds their
-    number (strongest first).  Counts and inverse document frequencies cover all
-    labelled texts.  The index holds at most ``max_examples`` of the texts that
-    have a selected term, chosen by a hash of text and id.  Both bounds are
-    parameters of the fit, so what reaches the driver does not grow with the
-    input.  Scores are calibrated on the examples, each left out in turn.
+    The weight of a term is its TF-IDF times z squared, where z is by how many
+    standard errors its shares of toxic and of other texts differ, in either
+    direction, after the continuity correction (half a text of each class).
+    The cosine is taken over the ``max_terms`` terms of the largest z, not over
+    all terms of a text; terms whose difference the correction covers (such as those
+    of a single text of the larger class) have no weight.
+    Counts and inverse document frequencies cover all labelled texts.  The index
+    holds at most ``max_examples`` of the texts that have a selected term,
+    chosen by a hash of text and id.  Both bounds are parameters of the fit, so
+    what reaches the driver does not grow with the input.  Scores are calibrated
+    on the examples, each left out in turn.
     """
     total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
@@ -188,12 +192,13 @@ def fit(
     rate = (F.col("pos") + F.col("neg")) / F.lit(float(pos + neg))
     error = F.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg))
     z = (F.col("pos") / F.lit(float(pos)) - F.col("neg") / F.lit(float(neg))) / error
+    half = 0.5 * (1 / pos + 1 / neg) / error
     chosen = (
-        class_counts(examples).where("pos >= 5").withColumn("z", z).where(F.col("z") >= min_z)
+        class_counts(examples).withColumn("z", F.abs(z) - half).where("z > 0")
         .orderBy(F.desc("z"), "term").limit(max_terms).collect()
     )
     terms = {bytes(r["term"]): i for i, r in enumerate(chosen)}
-    idf = np.log((1 + pos + neg) / (1 + np.array([r["pos"] + r["neg"] for r in chosen], float)))
+    idf = np.log((1 + pos + neg) / (1 + np.array([r["pos"] + r["neg"] for r in chosen], float))) * np.array([r["z"] for r in chosen], float) ** 2
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Selected(terms)
@@ -224,6 +229,8 @@ def fit(
         ids = np.flatnonzero(index.weights[:, j])
         votes[j] = index.vote(*index.nearest(ids, index.weights[ids, j], k, skip=j))
     knots, values = rising(votes, index.toxic)
+    # no neighbour is a vote of 0: what that says stands in for the prior
+    empty_score = (none_pos + float(np.interp(0.0, knots, values))) / (none_pos + none_neg + 1)
     return Model(index, knots, values, empty_score, k)
 
 
@@ -252,7 +259,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """doc_id, score and evidence (doc_id, cosine, toxic of the nearest examples) of every whole text.
 
     Null and empty texts, and texts without a selected term, have no neighbours
-    and get the share of toxic labels among labelled texts of that kind.
+    and get the share of toxic labels among labelled texts of that kind (with
+    one prior observation: the calibrated score of a vote of 0).
     Repeated rows are scored each; extra columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -365,6 +365,17 @@ def test_toxicity(spark):
     assert collect(toxicity.score_toxicity(frame(spark, [(1, "x")]), nothing))[1]["score"] == 0
 
 
+def test_toxicity_with_few_labels(spark):
+    """Six toxic texts, their word in four of them: terms of either class are selected, and scores differ."""
+    rng = random.Random(4)
+    text = lambda *more: " ".join([*("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(12)), *more])
+    rows = [(d, text("snorkum"), 1) for d in range(4)] + [(d, text(), 1) for d in (4, 5)] + [(d, text("pleased"), 0) for d in range(6, 66)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert {b"snorkum", b"pleased"} <= set(model.index.terms)
+    got = collect(toxicity.score_toxicity(frame(spark, [(900, text("snorkum")), (901, text("pleased"))]), model))
+    assert got[900]["score"] > got[901]["score"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

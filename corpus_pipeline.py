@@ -55,7 +55,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Near-duplicate classes, nearest neighbours and token ids are beyond SQL; a test holds run() against brute force.
+#: Near-duplicate classes, nearest neighbours and token ids are beyond SQL; a test compares the doc_ids of run() with those of the operators.
 ORACLE_SQL = None
 
 

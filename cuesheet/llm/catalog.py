@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate", "minhash", "line_dedup", "pii", "ppm", "repeats")
+_MODULES = ("exact_dedup", "chat_format", "packing", "toxicity", "decontaminate", "minhash", "line_dedup", "pii", "ppm", "repeats", "token_counts", "merkle", "collocations")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

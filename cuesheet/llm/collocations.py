@@ -20,6 +20,9 @@ LONGEST = 5
 STOP = b"\xff"
 #: A-Z to a-z, the marks that end pieces to STOP, tab to blank.
 BYTES = bytes.maketrans((UPPER + ".,;:!?\n\x0b\x0c\r\t").encode(), LOWER.encode() + STOP * 10 + b" ")
+#: Prefix partitions that runs are dealt into; few bits, since they travel with every row.
+PARTS = 1 << 20
+PAIR_MASK = np.uint64((1 << 40) - 1)
 BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
 _MASK = (1 << 64) - 1
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -177,20 +180,22 @@ class Counter:
                 alive &= self.pairs_ok.has(pair)
             columns.append(np.where(alive, ids[at + d], 0))
         rows = np.stack(columns, axis=1).astype(">u4")
-        # shorter sequences were counted in an earlier pass
-        rows = rows[rows[:, min(self.depth, 3) - 1] > 0]
+        # single words were counted in an earlier pass
+        rows = rows[rows[:, min(self.depth, 2) - 1] > 0]
         if not len(rows):
             return
         width = 4 * self.depth
-        if self.depth <= 2:
-            kind = f">u{width}"
-            uniq, counts = np.unique(np.ascontiguousarray(rows).view(kind).ravel().astype(f"u{width}"), return_counts=True)
-            raw = uniq.astype(kind).tobytes()
-        else:
-            uniq, counts = np.unique(np.ascontiguousarray(rows).view(f"V{width}").ravel(), return_counts=True)
-            raw = uniq.tobytes()
+        uniq, counts = np.unique(np.ascontiguousarray(rows).view(f"V{width}").ravel(), return_counts=True)
+        raw = uniq.tobytes()
         self.trie.add([raw[i : i + width] for i in range(0, len(raw), width)], counts.tolist())
 
+    def pair_hashes(self, texts: list[bytes]) -> np.ndarray:
+        """Hashes of all pairs of neighbours that both may be frequent."""
+        ids = self._learn(pieces(texts))
+        both = (ids[1:] > 0) & (ids[:-1] > 0)
+        left = mix(np.uint64(self.seed), self.hashes[ids[:-1][both]])
+        return mix(left, self.hashes[ids[1:][both]]) & PAIR_MASK
+
     def run(self, least: int) -> Iterator[pa.RecordBatch]:
         """Whole subtrees with ``least`` entries or more as one sorted run: (part, lang, key, n)."""
         raw, counts = self.trie.take(least)
@@ -202,6 +207,7 @@ class Counter:
         part = mix(np.uint64(self.seed), self.hashes[ids[:, 0]])
         if self.depth > 1:
             part = mix(part, self.hashes[ids[:, 1]])
+        part &= np.uint64(PARTS - 1)
         ends = [b"", *map(term, self.words[1:])]
         for lo in range(0, len(ids), 20_000):
             keys = [b"".join([ends[i] for i in row]) for row in ids[lo : lo + 20_000].tolist()]
@@ -213,7 +219,65 @@ def _runs(part: np.ndarray, lang: str, keys: list[bytes], n: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "key", "n"])
 
 
-def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_entries: int = 400_000, max_words: int = 300_000, chunk: int = 2_000_000) -> DataFrame:
+def by_language(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of one language at a time, about ``chunk`` bytes or the rest of a batch."""
+    for b in batches:
+        waiting: dict[str, list[bytes]] = defaultdict(list)
+        sizes: dict[str, int] = defaultdict(int)
+        for lang, value in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
+            text = value.as_py() or b""
+            waiting[lang].append(text)
+            sizes[lang] += len(text)
+            if sizes[lang] > chunk:
+                yield lang, waiting.pop(lang)
+                del sizes[lang]
+        yield from waiting.items()
+
+
+def count_pair_hashes(docs: DataFrame, word_bits, max_pairs: int = 3_000_000, max_words: int = 300_000, chunk: int = 2_000_000) -> DataFrame:
+    """(hash, n): 40-bit hashes of pairs of words that may be frequent, counted in the task; docs are (lang, text).
+
+    Equal hashes only add up, so a pair occurs no more often than its hash.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Filter(word_bits.value)
+        counters: dict[str, Counter] = {}
+        hashes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+
+        def fold() -> None:
+            nonlocal hashes, n
+            new, times = np.unique(np.concatenate(fresh or [hashes[:0]]), return_counts=True)
+            both = np.concatenate((hashes, new))
+            hashes, at = np.unique(both, return_inverse=True)
+            n = np.bincount(at, np.concatenate((n, times)), len(hashes)).astype(np.int64)
+            fresh.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(n), 100_000):
+                columns = [pa.array(hashes[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "n"])
+
+        for lang, held in by_language(batches, chunk):
+            if lang not in counters:
+                counters[lang] = Counter(lang, 2, words, None)
+            fresh.append(counters[lang].pair_hashes(held))
+            if sum(map(len, fresh)) > max_pairs // 2:
+                fold()
+                if len(n) > max_pairs:
+                    yield from out()
+                    hashes, n = hashes[:0], n[:0]
+            if sum(len(c.ids) for c in counters.values()) > max_words:
+                for c in counters.values():
+                    c.clear()
+        fold()
+        yield from out()
+
+    return docs.mapInArrow(count, "hash long, n long")
+
+
+def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_entries: int = 800_000, max_words: int = 300_000, chunk: int = 2_000_000) -> DataFrame:
     """Sorted runs (part, lang, key, n) of sequences of up to ``depth`` words; docs are (lang, text).
 
     A task holds at most about ``max_entries`` trie entries and ``max_words``
@@ -242,21 +306,11 @@ def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_
                 for c in counters.values():
                     c.clear()
 
-        for b in batches:
-            waiting: dict[str, list[bytes]] = defaultdict(list)
-            sizes: dict[str, int] = defaultdict(int)
-            for lang, value in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                text = value.as_py() or b""
-                waiting[lang].append(text)
-                sizes[lang] += len(text)
-                if sizes[lang] > chunk:
-                    yield from feed(lang, waiting.pop(lang))
-                    del sizes[lang]
-            for lang, held in waiting.items():
-                yield from feed(lang, held)
+        for lang, held in by_language(batches, chunk):
+            yield from feed(lang, held)
         yield from spill(lambda c: 1 << 62)
         for c in counters.values():
-            yield _runs(np.array([mix(c.seed, 0)], np.uint64).view(np.int64), c.lang, [b""], np.array([c.total]))
+            yield _runs(np.array([c.seed % PARTS], np.int64), c.lang, [b""], np.array([c.total]))
 
     return docs.mapInArrow(count, "part long, lang string, key binary, n long")
 
@@ -334,18 +388,20 @@ def frequent_bits(grams: DataFrame):
 def frequent_phrases(docs: DataFrame, at_least: int = 100, longest: int = LONGEST, **limits: int) -> DataFrame:
     """(lang, phrase, size, f): all phrases that occur ``at_least`` times, and the empty one with the number of words.
 
-    Three passes over the texts: words, pairs of words that may be frequent, and
-    longer sequences all of whose pairs may be.  A phrase occurs no more often than any
-    part of it, so none is lost; the filters of 16 MB at most only save rows.
+    Three passes over the texts: words; hashes of pairs of words that may be
+    frequent; sequences of 2 words or more all of whose pairs may be.  A phrase
+    occurs no more often than any part of it, so none is lost; the filters (16 MB at
+    most) only save rows.
     """
+    few = {k: v for k, v in limits.items() if k != "max_entries"}
     words = materialize(merge_runs(count_runs(docs, 1, **limits), at_least, 1), "words")
     word_bits = frequent_bits(words.where("size = 1"))
-    pairs = materialize(merge_runs(count_runs(docs, 2, word_bits, **limits).where("key <> X''"), at_least, 2), "pairs")
-    pair_bits = frequent_bits(pairs)
-    longer = materialize(merge_runs(count_runs(docs, longest, word_bits, pair_bits, **limits).where("key <> X''"), at_least, 3), "longer")
+    pairs = count_pair_hashes(docs, word_bits, **few).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+    pair_bits = frequent_bits(materialize(pairs.select("hash"), "pairs"))
+    longer = materialize(merge_runs(count_runs(docs, longest, word_bits, pair_bits, **limits).where("key <> X''"), at_least, 2), "longer")
     for b in (word_bits, pair_bits):
         b.unpersist()
-    return words.unionByName(pairs).unionByName(longer).drop("hash")
+    return words.unionByName(longer).drop("hash")
 
 
 def collocations(

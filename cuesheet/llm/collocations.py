@@ -152,10 +152,13 @@ class Counter:
         self.words: list[bytes] = [b""]
         self.hashes = np.zeros(1, np.uint64)
         self.trie = HatTrie(self.depth)
+        self.single = np.zeros(1, np.int64)  # counts of single words, by id
 
     def _learn(self, tokens: list[bytes]) -> np.ndarray:
         """Ids of tokens; 0 for the end of a piece and for words that cannot be frequent."""
-        new = list(set(tokens).difference(self.ids))
+        found = np.fromiter(map(self.ids.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unknown = np.flatnonzero(found < 0).tolist()
+        new = list({tokens[i] for i in unknown})
         if new:
             h = np.fromiter(map(word_hash, new), np.uint64, len(new))
             ok = np.ones(len(new), bool) if self.words_ok is None else self.words_ok.has(mix(np.uint64(self.seed), h))
@@ -163,13 +166,20 @@ class Counter:
             self.ids.update(zip(new, at.tolist()))
             self.words += [w for w, good in zip(new, ok.tolist()) if good]
             self.hashes = np.concatenate((self.hashes, h[ok]))
-        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+            found[unknown] = [self.ids[tokens[i]] for i in unknown]
+        return found
 
     def feed(self, texts: list[bytes]) -> None:
         tokens = pieces(texts)
         self.total += len(tokens) - tokens.count(STOP)
         ids = np.concatenate((self._learn(tokens), np.zeros(self.depth, np.int64)))
         n = len(tokens)
+        if self.depth == 1:
+            counts = np.bincount(ids[:n], minlength=len(self.words))
+            counts[: len(self.single)] += self.single
+            counts[0] = 0
+            self.single = counts
+            return
         at = np.flatnonzero(ids[:n] > 0)
         columns = [ids[at]]
         alive = np.ones(len(at), bool)
@@ -181,7 +191,7 @@ class Counter:
             columns.append(np.where(alive, ids[at + d], 0))
         rows = np.stack(columns, axis=1).astype(">u4")
         # single words were counted in an earlier pass
-        rows = rows[rows[:, min(self.depth, 2) - 1] > 0]
+        rows = rows[rows[:, 1] > 0]
         if not len(rows):
             return
         width = 4 * self.depth
@@ -198,8 +208,13 @@ class Counter:
 
     def run(self, least: int) -> Iterator[pa.RecordBatch]:
         """Whole subtrees with ``least`` entries or more as one sorted run: (part, lang, key, n)."""
-        raw, counts = self.trie.take(least)
-        ids = np.frombuffer(raw, ">u4").astype(np.int64).reshape(-1, self.depth)
+        if self.depth == 1:
+            ids = np.flatnonzero(self.single)[:, None]
+            counts = self.single[ids[:, 0]]
+            self.single = np.zeros(1, np.int64)
+        else:
+            raw, counts = self.trie.take(least)
+            ids = np.frombuffer(raw, ">u4").astype(np.int64).reshape(-1, self.depth)
         rank = np.zeros(len(self.words), np.int64)
         rank[sorted(range(len(self.words)), key=self.words.__getitem__)] = np.arange(len(self.words))
         order = np.lexsort([rank[ids[:, d]] for d in reversed(range(self.depth))])
@@ -234,7 +249,7 @@ def by_language(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple
         yield from waiting.items()
 
 
-def count_pair_hashes(docs: DataFrame, word_bits, max_pairs: int = 3_000_000, max_words: int = 300_000, chunk: int = 2_000_000) -> DataFrame:
+def count_pair_hashes(docs: DataFrame, word_bits, max_pairs: int = 3_000_000, max_words: int = 500_000, chunk: int = 2_000_000) -> DataFrame:
     """(hash, n): 40-bit hashes of pairs of words that may be frequent, counted in the task; docs are (lang, text).
 
     Equal hashes only add up, so a pair occurs no more often than its hash.
@@ -277,7 +292,7 @@ def count_pair_hashes(docs: DataFrame, word_bits, max_pairs: int = 3_000_000, ma
     return docs.mapInArrow(count, "hash long, n long")
 
 
-def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_entries: int = 800_000, max_words: int = 300_000, chunk: int = 2_000_000) -> DataFrame:
+def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_entries: int = 800_000, max_words: int = 500_000, chunk: int = 2_000_000) -> DataFrame:
     """Sorted runs (part, lang, key, n) of sequences of up to ``depth`` words; docs are (lang, text).
 
     A task holds at most about ``max_entries`` trie entries and ``max_words``
@@ -291,8 +306,8 @@ def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_
 
         def spill(least_of) -> Iterator[pa.RecordBatch]:
             for c in counters.values():
-                if c.trie.sizes and (least := least_of(c)):
-                    yield from c.run(least)
+                if c.depth == 1 or c.trie.sizes:
+                    yield from c.run(least_of(c))
 
         def feed(lang: str, held: list[bytes]) -> Iterator[pa.RecordBatch]:
             if lang not in counters:

@@ -42,11 +42,11 @@ class WordTokens:
     distinct word is encoded once; a word with a stop or comma behind it is the
     word and the mark.  Words of plain letters need no normalising and no
     splitting and take the same model without those steps.  The first ``limit``
-    distinct words are remembered for the life of the worker, the others for one
+    distinct words are remembered while a task runs (some 60 MB), the others for one
     chunk of texts; that changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -124,16 +124,6 @@ class WordTokens:
         return ids, np.diff(bounds)
 
 
-_ENCODERS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The tokenizer of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordTokens(path)
-    return _ENCODERS[path]
-
-
 def chunks(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts (UTF-8, null: empty) of runs of rows with about ``size`` bytes."""
     first, held, total = 0, [], 0
@@ -170,7 +160,7 @@ def tokenize_pieces(
     schema = pa.schema(fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(path)
+        encoder = WordTokens(path)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             docs_of = b.column(0).to_pylist()

@@ -31,26 +31,44 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    sizes = ends - starts
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples, term by term, in blocks with their largest weights."""
+    """Postings of unit TF-IDF vectors, term by term; an entry is the postings of a term in one block of examples, with their largest weight."""
 
     terms: dict[bytes, int]
     idf: np.ndarray  # times how much the term tells the classes apart
-    weights: np.ndarray  # terms x examples
     toxic: np.ndarray
     ids: np.ndarray
+    first: np.ndarray = None  # term: its first entry
+    blocks: np.ndarray = None  # entry: its block
+    most: np.ndarray = None  # entry: largest weight
+    start: np.ndarray = None  # entry: its first posting
+    at: np.ndarray = None  # posting: example
+    weight: np.ndarray = None
     block: int = 128
 
-    def __post_init__(self):
-        n = self.weights.shape[1]
-        pad = -n % self.block
-        self.padded = np.pad(self.weights, ((0, 0), (0, pad)))
-        blocks = self.padded.reshape(len(self.terms), (n + pad) // self.block, self.block)
-        self.block_max = blocks.max(axis=2)
+    def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Stores the vectors (term numbers, weights) of the examples."""
+        sizes = np.fromiter((len(v[0]) for v in vectors), np.int64, len(vectors))
+        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0, np.float32)])
+        at = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((at, term))
+        term, self.at, self.weight = term[order], at[order].astype(np.int32), weight[order]
+        block = self.at // self.block
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+        self.blocks, self.start = block[new].astype(np.int64), np.append(new, len(term))
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights; a text without selected terms has none."""
+        """Term numbers and unit weights; a text without weighted terms has none."""
         ids = np.array(sorted(counts), np.int64)
         if not len(ids):
             return ids, np.zeros(0, np.float32)
@@ -63,19 +81,27 @@ class Index:
         Blocks are scored in the order of their upper bounds until the next
         bound is below the k-th best cosine found.
         """
-        bounds = w @ self.block_max[ids]
+        lo, hi = self.first[ids], self.first[ids + 1]
+        entries, mine = spans(lo, hi), np.repeat(w.astype(np.float64), hi - lo)
+        n_blocks = -(-len(self.ids) // self.block)
+        bounds = np.bincount(self.blocks[entries], mine * self.most[entries], n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        turn = np.empty(n_blocks, np.int64)
+        turn[order] = np.arange(n_blocks)
+        when = turn[self.blocks[entries]]
+        best_at, best = np.zeros(0, np.int64), np.zeros(0)
         step = 4
-        for lo in range(0, len(order), step):
-            if len(best) >= k and bounds[order[lo]] < best[-1]:
-                break
-            if bounds[order[lo]] <= 0:
+        for now in range(0, n_blocks, step):
+            bound = bounds[order[now]]
+            if bound <= 0 or len(best) >= k and bound * (1 + 1e-9) < best[-1]:
                 break
-            cols = (order[lo : lo + step, None] * self.block + np.arange(self.block)).ravel()
-            cos = w @ self.padded[np.ix_(ids, cols)]
-            ok = (cos > 0) & (cols != skip) & (cols < self.weights.shape[1])
-            best_at, best = np.concatenate((best_at, cols[ok])), np.concatenate((best, cos[ok]))
+            some = np.flatnonzero((when >= now) & (when < now + step))
+            a, b = self.start[entries[some]], self.start[entries[some] + 1]
+            posts = spans(a, b)
+            cos = np.bincount(self.at[posts], np.repeat(mine[some], b - a) * self.weight[posts], len(self.ids))
+            found = np.flatnonzero(cos > 0)
+            found = found[found != skip]
+            best_at, best = np.concatenate((best_at, found)), np.concatenate((best, cos[found]))
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
         return best_at, best
@@ -166,26 +192,32 @@ def class_counts(examples: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(
-    examples: DataFrame, max_terms: int = 2048, max_examples: int = 4096, k: int = 15
-) -> Model:
+def ranking(votes: np.ndarray, labels: np.ndarray) -> float:
+    """Share of (toxic, other) pairs in the right order; ties count half."""
+    _, at, n = np.unique(votes, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    pos = labels.sum()
+    return float((rank[labels > 0].sum() - pos * (pos + 1) / 2) / max(1.0, pos * (len(labels) - pos)))
+
+
+def fit(examples: DataFrame, max_examples: int = 4096, k: int = 15, powers: tuple[int, ...] = (1, 2, 3, 4)) -> Model:
     """The index and its calibration from labelled texts (doc_id, text, toxic).
 
-    The weight of a term is its TF-IDF times z squared, where z is by how many
+    The weight of a term is its TF-IDF times a power of z, where z is by how many
     standard errors its shares of toxic and of other texts differ, in either
     direction, after the continuity correction (half a text of each class).
-    The cosine is taken over the ``max_terms`` terms of the largest z, not over
-    all terms of a text; terms whose difference the correction covers (such as those
-    of a single text of the larger class) have no weight.
-    Counts and inverse document frequencies cover all labelled texts.  The index
-    holds at most ``max_examples`` of the texts that have a selected term,
-    chosen by a hash of text and id.  Both bounds are parameters of the fit, so
-    what reaches the driver does not grow with the input.  Scores are calibrated
-    on the examples, each left out in turn.
+    All terms are weighed; those whose difference the correction covers (such as
+    those of a single text of the larger class) weigh nothing.  The power is the
+    one of ``powers`` that ranks the examples best, each left out in turn.
+    Counts and inverse document frequencies cover all labelled texts given; their
+    bound (see ``labelled_texts``) bounds the number of terms too.  The index
+    holds at most ``max_examples`` of the texts that have a weighted term,
+    chosen by a hash of text and id.  Scores are calibrated on the
+    examples, each left out in turn.
     """
     total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
-    empty = Index({}, np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0, np.int64))
+    empty = Index({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
     prior = pos / (pos + neg) if pos + neg else 0.0
     if not pos or not neg:
         return Model(empty, np.zeros(0), np.zeros(0), prior, k)
@@ -193,15 +225,14 @@ def fit(
     error = F.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg))
     z = (F.col("pos") / F.lit(float(pos)) - F.col("neg") / F.lit(float(neg))) / error
     half = 0.5 * (1 / pos + 1 / neg) / error
-    chosen = (
-        class_counts(examples).withColumn("z", F.abs(z) - half).where("z > 0")
-        .orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    )
-    terms = {bytes(r["term"]): i for i, r in enumerate(chosen)}
-    idf = np.log((1 + pos + neg) / (1 + np.array([r["pos"] + r["neg"] for r in chosen], float))) * np.array([r["z"] for r in chosen], float) ** 2
+    chosen = class_counts(examples).withColumn("z", F.abs(z) - half).where("z > 0").orderBy(F.desc("z"), "term").toArrow()
+    terms = {t: i for i, t in enumerate(chosen.column("term").to_pylist())}
+    plain = np.log((1 + pos + neg) / (1.0 + chosen.column("pos").to_numpy() + chosen.column("neg").to_numpy()))
+    z_of = chosen.column("z").to_numpy()
+    held_terms = examples.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Selected(terms)
+        counter = Selected(held_terms.value)
         for b in batches:
             counts = [counter.counts(t.as_py()) for t in b.column(1)]
             keep = [i for i, c in enumerate(counts) if c]
@@ -213,21 +244,23 @@ def fit(
         examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<long>, n array<long>"), "examples"
     )
     held = {r["toxic"]: r["n"] for r in with_terms.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = with_terms.orderBy(F.xxhash64("t", "n", "doc_id"), "doc_id").limit(max_examples).collect()
-    rows.sort(key=lambda r: (min(r["t"]), r["doc_id"]))
+    found = with_terms.orderBy(F.xxhash64("t", "n", "doc_id"), "doc_id").limit(max_examples).toArrow()
+    held_terms.unpersist()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "t", "n"))), key=lambda r: (min(r[2]), r[0]))
     none_pos, none_neg = pos - held.get(1, 0), neg - held.get(0, 0)
     empty_score = (none_pos + prior) / (none_pos + none_neg + 1)
     if not rows:
         return Model(empty, np.zeros(0), np.zeros(0), empty_score, k)
-    index = Index(terms, idf, np.zeros((len(terms), len(rows)), np.float32), np.array([r["toxic"] for r in rows], float), np.array([r["doc_id"] for r in rows], np.int64))
-    for j, r in enumerate(rows):
-        ids, w = index.vector(dict(zip(r["t"], r["n"])))
-        index.weights[ids, j] = w
-    index.__post_init__()
-    votes = np.zeros(len(rows))
-    for j in range(len(rows)):
-        ids = np.flatnonzero(index.weights[:, j])
-        votes[j] = index.vote(*index.nearest(ids, index.weights[ids, j], k, skip=j))
+    best = None
+    for power in powers:
+        index = Index(terms, plain * z_of**power, np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], np.int64))
+        vectors_of = [index.vector(dict(zip(t, n))) for _, _, t, n in rows]
+        index.fill(vectors_of)
+        votes = np.array([index.vote(*index.nearest(*v, k, skip=j)) for j, v in enumerate(vectors_of)])
+        good = ranking(votes, index.toxic)
+        if best is None or good > best[0]:
+            best = (good, index, votes)
+    _, index, votes = best
     knots, values = rising(votes, index.toxic)
     # no neighbour is a vote of 0: what that says stands in for the prior
     empty_score = (none_pos + float(np.interp(0.0, knots, values))) / (none_pos + none_neg + 1)
@@ -235,7 +268,7 @@ def fit(
 
 
 class Selected:
-    """Counts of the selected terms in a text; distinct words are looked up once."""
+    """Counts of the weighted terms in a text; distinct words are looked up once."""
 
     def __init__(self, terms: dict[bytes, int]):
         self.terms = terms
@@ -244,7 +277,7 @@ class Selected:
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > 100_000:
             memo.clear()
         for w, n in Counter(words(text)).items():
             found = memo.get(w)
@@ -258,7 +291,7 @@ class Selected:
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
     """doc_id, score and evidence (doc_id, cosine, toxic of the nearest examples) of every whole text.
 
-    Null and empty texts, and texts without a selected term, have no neighbours
+    Null and empty texts, and texts without a weighted term, have no neighbours
     and get the share of toxic labels among labelled texts of that kind (with
     one prior observation: the calibrated score of a vote of 0).
     Repeated rows are scored each; extra columns are ignored.

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import encode, narrow, prune_by_ids, table, words
-from cuesheet.llm.linking import link, with_texts
+from cuesheet.llm.common import components, encode, narrow, prune_by_ids, table, whole_runs, words
+from cuesheet.llm.linking import shared_buckets, with_texts
 from cuesheet.llm.minhash import WordHash, mix, shingles, weighted_jaccard
 from cuesheet.session import materialize
 
@@ -114,9 +114,14 @@ def within_edits(xs: list[bytes], ys: list[bytes], edits: int) -> np.ndarray:
         result[p] = _plain_distance(xs[p], ys[p]) <= edits
     todo = np.setdiff1d(todo, short)
     todo = todo[np.argsort(m[todo], kind="stable")]
-    for lo in range(0, len(todo), 4096):
+    lo = 0
+    while lo < len(todo):
+        # pairs are sorted by length: so many that both matrices stay near 16 MB, whatever the length
         part = todo[lo : lo + 4096]
+        width = np.maximum(n[part], m[part]).cumsum() / np.arange(1, len(part) + 1)
+        part = part[: max(1, int(np.searchsorted(np.arange(1, len(part) + 1) * width, 4_000_000)))]
         result[part] = _band([xs[p] for p in part], [ys[p] for p in part], n[part], m[part], edits)
+        lo += len(part)
     return result
 
 
@@ -166,111 +171,208 @@ def line_id(line: bytes) -> int:
 
 
 def line_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, id, n_chars, sig, keys) of each line of ``min_chars`` or more; keys and sig once for each task and line."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    names = ["doc_id", "line_no", "id", "n_chars", "sig", "keys"]
+    """(doc_id, th, line_no, id, n_chars, keys) of each line that is not blank.
+
+    Keys come once for each task and line, and only for lines of ``min_chars`` or more.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    names = ["doc_id", "th", "line_no", "id", "n_chars", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
 
         def out(rows, new):
-            keys, sig = line_keys([line for _, line in new], edits, powers) if new else (None, None)
+            keys = line_keys([line for _, line in new], edits, powers)[0] if new else None
             cols = [list(c) for c in zip(*rows)]
-            sigs: list = [None] * len(rows)
             lists: list = [None] * len(rows)
             for j, (at, _) in enumerate(new):
-                sigs[at], lists[at] = sig[j].tobytes(), keys[j].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, sigs, lists], kinds)], names=names)
+                lists[at] = keys[j].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, lists], kinds)], names=names)
 
         rows, new, size = [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 for no, line in enumerate(split_lines(text.as_py())):
-                    if len(line) < min_chars:
+                    if not line.strip():
                         continue
                     raw = encode(line)
                     i = line_id(raw)
-                    if i not in seen:
-                        if len(seen) > 1_000_000:
+                    if len(line) >= min_chars and i not in seen:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen.add(i)
                         new.append((len(rows), raw))
                         size += len(raw)
-                    rows.append((doc, no, i, len(line)))
-                if size > 3_000_000 or len(rows) > 50_000:
-                    yield out(rows, new)
-                    rows, new, size = [], [], 0
+                    rows.append((doc, th, no, i, len(line)))
+                    if size > 2_000_000 or len(rows) > 50_000:
+                        yield out(rows, new)
+                        rows, new, size = [], [], 0
         if rows:
             yield out(rows, new)
 
-    return docs.mapInArrow(run, "doc_id long, line_no int, id long, n_chars int, sig binary, keys array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, line_no int, id long, n_chars int, keys array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """(id, text) of the wanted lines: a bit filter of fixed size (1 MB) goes to the tasks, an exact join follows."""
+def texts_of(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """(id, text) of the wanted lines: a bit filter goes to the tasks (16 bits for each id, 16 MB at most), an exact join follows."""
+    bits = 1 << 20
+    while bits < min(1 << 27, 16 * n_ids):
+        bits *= 2
     # the ids are hashes already: their low bits are the slot
-    slot = F.pmod(F.col("id"), F.lit(bits))
-    found = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
-    mask = np.zeros(bits // 64, np.uint64)
-    for r in found.toLocalIterator():
-        mask[r["w"]] = r["b"] % 2**64
-    held = docs.sparkSession.sparkContext.broadcast(np.unpackbits(mask.view(np.uint8), bitorder="little").tobytes())
+    slot = F.col("id").bitwiseAND(F.lit(bits - 1))
+    found = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("b")).toArrow()
+    mask = np.zeros(bits // 64, np.int64)
+    mask[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(mask.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, seen = held.value, set()
         for b in batches:
             out: list[list] = [[], []]
-            for text in b.column(1):
+            for text in b.column(0):
                 for line in split_lines(text.as_py()):
-                    i = line_id(encode(line))
-                    if flags[i % bits] and i not in seen:
-                        if len(seen) > 500_000:
+                    raw = encode(line)
+                    i = line_id(raw)
+                    at = i & bits - 1
+                    if flags[at >> 3] >> (at & 7) & 1 and i not in seen:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen.add(i)
                         out[0].append(i)
-                        out[1].append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["id", "text"])
+                        out[1].append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["id", "text"])
 
-    return docs.mapInArrow(run, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(run, "id long, text binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """(doc_id, line_no, n_chars, root, first, source): lines in a class of two or more, whether they come first in it, and the document of the first.
+def shared_key(x: np.ndarray, y: np.ndarray, own: int) -> np.ndarray:
+    """The smallest key that two lines have in common as a segment of one and a probe of the other, pair by pair."""
+    best = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+    for a, b in ((x, y), (y, x)):
+        for i in range(own):
+            for k in range(a.shape[1]):
+                same = np.flatnonzero(a[:, i] == b[:, k])
+                best[same] = np.minimum(best[same], a[same, i])
+    return best
 
-    Lines of ``min_chars`` code points or more are linked within ``edits``
-    insertions, deletions or substitutions of UTF-8 bytes; classes are the
-    components; the first line is that of the smallest doc_id, then line_no.
-    Equal lines are one node (64-bit hash), sent once by each task.
+
+def close_pairs(rows: DataFrame, edits: int) -> DataFrame:
+    """Links inside buckets, without writing them: (a, b, null) a spanning forest, (a, null, n) how many lines are linked with a.
+
+    Rows are (grp, key, slice, cross, id, text, n): a group is one slice of a
+    bucket (``cross`` false) or two of them, whose members are then compared across.
+    Byte counts and lengths leave few pairs; a pair that meets in several
+    buckets is verified in that of its smallest shared key only.
     """
-    rows = materialize(line_rows(docs, edits, min_chars), "lines")
     own = edits + 1
-    keyed = rows.where("keys is not null").select("id", F.posexplode("keys").alias("k", "key")).select(
-        "key", (F.col("k") >= own).cast("int").alias("role"), "id"
-    )
-    sigs = rows.where("sig is not null").groupBy("id").agg(F.first("sig").alias("sig"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = within_edits([encode(x) for x in b.column(2).to_pylist()], [encode(x) for x in b.column(3).to_pylist()], edits)
-                yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-        return with_texts(pairs, texts_of(docs, ids)).mapInArrow(check, "a long, b long")
-
-    _, roots = link(keyed, sigs, closeness, -edits, SIG, verify, "lines")
-    at = rows.select("doc_id", "line_no", "n_chars", "id")
-    placed = at.join(roots, "id", "left").select("doc_id", "line_no", "n_chars", F.coalesce("root", "id").alias("root"))
-    firsts = placed.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("f")).where("n > 1")
-    return placed.join(firsts, "root").select(
-        "doc_id",
-        "line_no",
-        "n_chars",
-        "root",
-        ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))).alias("first"),
-        F.col("f.doc_id").alias("source"),
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for t, starts in whole_runs(batches, "grp"):
+            ids, n, part = (t.column(c).to_numpy() for c in ("id", "n", "slice"))
+            bucket, cross = t.column("key").to_numpy().view(np.uint64), t.column("cross").to_numpy(zero_copy_only=False)
+            texts = t.column("text").to_pylist()
+            keys, sig = line_keys(texts, edits, powers)
+            links = np.zeros(len(ids), np.int64)
+            parent = list(range(len(ids)))
+            edges: list[tuple[int, int]] = []
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            def verify(i: np.ndarray, j: np.ndarray) -> None:
+                ok = (bucket[i] == bucket[j]) & (~cross[i] | (part[i] != part[j]))
+                i, j = i[ok], j[ok]
+                ok = may_be_near(sig[i], sig[j], edits)
+                i, j = i[ok], j[ok]
+                ok = shared_key(keys[i], keys[j], own) == bucket[i]
+                i, j = i[ok], j[ok]
+                ok = within_edits([texts[p] for p in i.tolist()], [texts[p] for p in j.tolist()], edits)
+                i, j = i[ok], j[ok]
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                for a, b in zip(i.tolist(), j.tolist()):
+                    ra, rb = root(a), root(b)
+                    if ra != rb:
+                        parent[max(ra, rb)] = min(ra, rb)
+                        edges.append((a, b))
+
+            sizes = np.diff(starts)
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            small = sizes[run] <= 32
+            for d in range(1, min(32, int(sizes.max(initial=0)))):
+                i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+                for at in range(0, len(i), 65536):
+                    verify(i[at : at + 65536], i[at : at + 65536] + d)
+            for r in np.flatnonzero(sizes > 32).tolist():
+                lo, hi = int(starts[r]), int(starts[r + 1])
+                for at in range(lo, hi, 64):
+                    x = np.arange(at, min(hi, at + 64))
+                    for col in range(at, hi, 1024):
+                        y = np.arange(col, min(hi, col + 1024))
+                        i, j = np.nonzero(x[:, None] < y[None])
+                        verify(x[i], y[j])
+            some = np.flatnonzero(links)
+            a = [ids[i] for i, _ in edges] + ids[some].tolist()
+            b = [ids[j] for _, j in edges] + [None] * len(some)
+            c = [None] * len(edges) + links[some].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, c)], names=["a", "b", "n"])
+
+    columns = ["grp", "key", "slice", "cross", "id", "text", "n"]
+    return rows.select(columns).repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(work, "a long, b long, n long")
+
+
+def edit_links(docs: DataFrame, rows: DataFrame, edits: int, slice_rows: int = 1024, slice_bytes: int = 8_000_000) -> DataFrame:
+    """(a, b, null) and (a, null, n) as ``close_pairs``, over all buckets of the lines with keys.
+
+    A bucket is cut into slices of about ``slice_rows`` lines or ``slice_bytes``
+    bytes, and every two of them meet in a task of their own, so no task holds
+    a whole large bucket.
+    """
+    own = edits + 1
+    keyed = rows.where("keys is not null").select("id", F.posexplode("keys").alias("k", "key"))
+    buckets = materialize(shared_buckets(keyed.select("key", (F.col("k") >= own).cast("int").alias("role"), "id")), "line-buckets")
+    ids = materialize(buckets.select("id").distinct(), "line-ids")
+    weights = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    lines = materialize(texts_of(docs, ids, ids.count()).join(weights, "id"), "line-texts")
+    members = buckets.join(lines, "id")
+    sizes = buckets.join(lines.select("id", F.octet_length("text").alias("size")), "id").groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / slice_rows, F.sum("size") / slice_bytes)).cast("int").alias("parts")
     )
+    cut = members.join(sizes, "key").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = [F.least("slice", "other"), F.greatest("slice", "other")]
+    return close_pairs(dealt.withColumns({"grp": F.xxhash64("key", *pair), "cross": F.col("slice") != F.col("other")}), edits)
+
+
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+    """(doc_id, th, line_no, n_chars, root, first, source, links): lines in a class of two or more.
+
+    ``docs`` are (doc_id, th, text), ``th`` a hash of the text, so that rows
+    that repeat an id are told apart.  Lines of ``min_chars`` code points or more
+    are linked within ``edits`` insertions, deletions or substitutions of UTF-8
+    bytes, shorter ones when they are equal, blank ones never.  Classes are the
+    components; ``first`` says whether the line comes first in its class (smallest
+    doc_id, th, line_no), ``source`` is the document of the first, ``links`` counts
+    the other lines that this one is linked with.  Equal lines are one node (64-bit hash), sent
+    once by each task.
+    """
+    rows = materialize(line_rows(docs, edits, min_chars), "lines")
+    found = materialize(edit_links(docs, rows, edits), "line-links")
+    roots = components(found.where("b is not null").select("a", "b"), "line-roots")
+    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("edit_links"))
+    at = rows.select("doc_id", "th", "line_no", "n_chars", "id")
+    nodes = at.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("f"))
+    nodes = nodes.join(roots, "id", "left").join(links, "id", "left")
+    # classes of a single line go before anything is sent back to the rows
+    nodes = materialize(nodes.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")), "line-nodes")
+    firsts = nodes.groupBy("root").agg(F.min("f").alias("f"))
+    known = nodes.select("id", "root", (F.col("n") - 1 + F.coalesce("edit_links", F.lit(0))).alias("links")).join(firsts, "root")
+    mine = F.struct("doc_id", "th", "line_no") == F.col("f")
+    return at.join(known, "id").select("doc_id", "th", "line_no", "n_chars", "root", mine.alias("first"), F.col("f.doc_id").alias("source"), "links")
 
 
 def whole_copies(base: DataFrame, linked: DataFrame, max_share: float, similarity: float) -> DataFrame:
@@ -330,7 +432,7 @@ def line_dedup(
     max_share: float = 0.5,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """One row per document: doc_id, text without its repeated lines, n_lines, n_repeated, n_dropped, class_ids.
+    """One row per document: doc_id, text without its repeated lines, n_lines, n_repeated, n_dropped, n_links, class_ids.
 
     A line is repeated if an earlier line (smaller doc_id, then line number) is
     in its class.  Repeated lines are dropped, whatever they hold of the
@@ -338,36 +440,40 @@ def line_dedup(
     whole for document dedup: its repeated lines hold more than ``max_share`` of
     its characters, and it reaches the shingle ``similarity`` with what stays of
     one earlier document (see ``whole_copies``).  ``class_ids`` are the classes of its lines
-    that have company, in line order.  Null text stays null and has one empty
-    line; doc_id is the key: rows that repeat it share their classes; rows
-    without id are left alone.
+    that have company, in line order; ``n_links`` counts the other lines that they
+    are linked with.  Null text stays null and has one empty line; rows that repeat an
+    id with another text are documents of their own, in the order of a hash of their
+    text; rows that repeat id and text are one document; rows without id are left alone;
+    an empty table gives no rows.
     """
     base = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     lists = _lists(base, edits, min_chars, max_share, similarity)
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["doc_id", "text", "n_lines", "n_repeated", "n_dropped", "class_ids"]
+    names = ["doc_id", "text", "n_lines", "n_repeated", "n_dropped", "n_links", "class_ids"]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, text, lines, whole in zip(*(c.to_pylist() for c in b.columns)):
                 kept, n, repeated, dropped, known = _cut(text, lines, whole)
-                for c, v in zip(cols, (doc, kept, n, repeated, dropped, [known[no]["root"] for no in sorted(known)])):
+                links = sum(x["links"] for x in known.values())
+                for c, v in zip(cols, (doc, kept, n, repeated, dropped, links, [known[no]["root"] for no in sorted(known)])):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    ddl = "doc_id long, text string, n_lines long, n_repeated long, n_dropped long, class_ids array<long>"
-    return base.join(lists, base["doc_id"] == lists["__id"], "left").select("doc_id", "text", "__lines", "__whole").mapInArrow(cut, ddl)
+    ddl = "doc_id long, text string, n_lines long, n_repeated long, n_dropped long, n_links long, class_ids array<long>"
+    return base.join(lists, (base["doc_id"] == lists["__id"]) & (F.xxhash64(base["text"]) == lists["__th"]), "left").select("doc_id", "text", "__lines", "__whole").mapInArrow(cut, ddl)
 
 
 def _lists(base: DataFrame, edits: int, min_chars: int, max_share: float, similarity: float) -> DataFrame:
-    """(__id, __lines, __whole): the lines of a document that have company, and whether it is left whole."""
-    named = base.where("doc_id is not null")
+    """(__id, __th, __lines, __whole): the lines of a document that have company, and whether it is left whole."""
+    named = base.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     linked = materialize(line_classes(named, edits, min_chars), "linked")
-    row = F.struct("line_no", "root", "first")
-    lists = linked.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(row).alias("__lines"))
+    row = F.struct("line_no", "root", "first", "links")
+    # rows that repeat id and text have the same lines
+    lists = linked.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set(row).alias("__lines"))
     copies = whole_copies(named, linked, max_share, similarity)
-    return lists.join(copies, lists["__id"] == copies["copy"], "left").select("__id", "__lines", F.col("copy").isNotNull().alias("__whole"))
+    return lists.join(copies, lists["__id"] == copies["copy"], "left").select("__id", "__th", "__lines", F.col("copy").isNotNull().alias("__whole"))
 
 
 def _cut(text: str | None, lines: list[dict] | None, whole: bool | None) -> tuple[str | None, int, int, int, dict]:
@@ -399,13 +505,13 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, ma
                 b = b.set_column(at["n_chars"], old, pa.array(sizes, old.type))
             yield b
 
-    joined = docs.join(lists, docs["doc_id"] == lists["__id"], "left").drop("__id")
+    joined = docs.join(lists, (docs["doc_id"] == lists["__id"]) & (F.xxhash64(docs["text"]) == lists["__th"]), "left")
     return joined.select(*docs.columns, "__lines", "__whole").mapInArrow(cut, docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_repeated", "n_dropped", "class_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_repeated", "n_dropped", "n_links", "class_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}

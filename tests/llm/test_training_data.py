@@ -169,29 +169,101 @@ def test_minhash(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_lines(spark):
-    rng = random.Random(7)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(24, 60))) for _ in range(30)]
-    rows = [(0, None), (1, "")]
-    for d in range(2, 60):
-        lines = ["".join(rng.choice("abcdé ") for _ in range(50)) for _ in range(3)]
+def edits_between(x: bytes, y: bytes) -> int:
+    """Edit distance by the matrix; equal ends cost nothing."""
+    while x and y and x[0] == y[0]:
+        x, y = x[1:], y[1:]
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        new = [i]
+        for j, e in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1]
+
+
+def line_rows_for(seed: int) -> list[tuple[int | None, str | None]]:
+    """Variants of lines, one template with many numbers, short lines, blank lines, repeated ids and rows."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(24, 60))) for _ in range(12)]
+    rows: list[tuple[int | None, str | None]] = [(0, None), (1, ""), (1, "short\n" + base[0]), (None, base[0])]
+    for d in range(2, 45):
+        lines = ["x" + "".join(rng.choice("abcdé ") for _ in range(30))]
         x = list(rng.choice(base))
         for _ in range(rng.randint(0, 3)):
             x[rng.randrange(len(x))] = rng.choice("xyz")
-        rows.append((d, "\n".join([*lines, "".join(x), "short"])))
-    got = collect(line_dedup.line_dedup(frame(spark, rows)))
-    at = [(d, no, x.encode()) for d, t in rows for no, x in enumerate((t or "").split("\n")) if len(x) >= 24]
-    pairs = [(i, j) for i in range(len(at)) for j in range(i + 1, len(at)) if abs(len(at[i][2]) - len(at[j][2])) <= 2 and line_dedup._plain_distance(at[i][2], at[j][2]) <= 2]
+        lines += ["".join(x), f"ticket number {rng.randrange(10**4):04} was closed today", rng.choice(["short", "other", "", "  ", "é"])]
+        rows.append((d, "\n".join(lines)))
+    rows += [(7, "shared line that is long enough\nunique line C of the seventh row"), (7, "unique line B of the other row\nquite another line of that row")]
+    rows += [(50, "shared line that is long enough"), (8, "twice the same row\nin every column, with id and text")] * 2
+    return rows
+
+
+def test_lines(spark):
+    rows = line_rows_for(7)
+    # rows that repeat id and text are one document; repeated ids come in the order of the text's hash
+    th = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t")).collect()}
+    named = sorted({(d, th[t], t) for d, t in rows if d is not None}, key=lambda r: r[:2])
+    copies = Counter((d, t) for d, t in rows)
+    at = [(d, h, no, x) for d, h, t in named for no, x in enumerate((t or "").split("\n")) if x.strip()]
+    n_rows = [copies[d, t] for d, h, t in named for no, x in enumerate((t or "").split("\n")) if x.strip()]
+    raw = [x.encode() for *_, x in at]
+    long = [len(x) >= 24 for *_, x in at]
+    pairs = [
+        (i, j)
+        for i in range(len(at))
+        for j in range(i + 1, len(at))
+        if raw[i] == raw[j] or long[i] and long[j] and abs(len(raw[i]) - len(raw[j])) <= 2 and edits_between(raw[i], raw[j]) <= 2
+    ]
     root = roots(pairs, range(len(at)))
-    for d, t in rows:
-        lines = (t or "").split("\n")
-        drop = {no for k, (x, no, _) in enumerate(at) if x == d and root[k] != k}
-        drop = drop if sum(len(lines[n]) for n in drop) <= 0.5 * len(t or "") else set()
-        want = t if not drop else "\n".join(x for n, x in enumerate(lines) if n not in drop)
-        assert got[d]["text"] == want
+    links = Counter()
+    for i, j in pairs:
+        links[i] += n_rows[j]
+        links[j] += n_rows[i]
+    got = line_dedup.line_dedup(frame(spark, rows), max_share=1.0).collect()
+    want = Counter({(None, rows[3][1], 0): 1})
+    for d, h, t in named:
+        mine = [k for k, x in enumerate(at) if x[:2] == (d, h)]
+        drop = {at[k][2] for k in mine if root[k] != k}
+        n = sum(links[k] + n_rows[k] - 1 for k in mine)
+        text = t if not drop else "\n".join(x for no, x in enumerate(t.split("\n")) if no not in drop)
+        want[d, text, n] += copies[d, t]
+    assert Counter((r["doc_id"], r["text"], r["n_links"]) for r in got) == want
+    assert sum(links.values()) > 300
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_slices_of_a_bucket_find_the_same_links(spark):
+    rng = random.Random(9)
+    rows = [(d, f"ticket number {rng.randrange(10**5):05} was closed today") for d in range(300)]
+    docs = frame(spark, rows).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    lines = line_dedup.line_rows(docs, 2, 24).cache()
+    found = [line_dedup.edit_links(docs, lines, 2, **how).collect() for how in ({}, {"slice_rows": 40}, {"slice_bytes": 500})]
+    counts = []
+    for result in found:
+        n, forest = Counter(), []
+        for r in result:
+            if r["b"] is None:
+                n[r["a"]] += r["n"]
+            else:
+                forest.append((r["a"], r["b"]))
+        counts.append((n, roots(forest, {x for p in forest for x in p})))
+    texts_of = sorted({t for _, t in rows})
+    want = Counter({line_dedup.line_id(x.encode()): sum(copies for y, copies in Counter(t for _, t in rows).items() if x != y and edits_between(x.encode(), y.encode()) <= 2) for x in texts_of})
+    assert counts[0] == counts[1] == counts[2] and counts[0][0] == +want and len(want) > 200
+
+
+def test_very_long_lines():
+    rng = random.Random(3)
+    line = bytes(rng.choice(b"abcd ") for _ in range(130_000))
+    other = line[:500] + b"x" + line[501:90_000] + line[90_001:]
+    far = line[:500] + b"xyz" + line[503:]
+    xs, ys = [line, line, other] * 14, [other, far, far] * 14
+    assert line_dedup.within_edits(xs, ys, 2).tolist() == [True, False, False] * 14
+
+
 def test_lengths_on_both_sides_of_65536_are_compared():
     lines = [b"ab" * 32767 + b"c", b"ab" * 32767 + b"cd"]
     sig = line_dedup.line_keys(lines, 2, line_dedup.Powers())[1]
@@ -359,7 +431,12 @@ def test_toxicity(spark):
     for _ in range(20):
         ids, w = index.vector({i: 1 for i in rng.sample(range(len(index.idf)), min(2, len(index.idf)))})
         at, cos = index.nearest(ids, w, 5)
-        every = w @ index.weights[ids]
+        dense = np.zeros((len(index.idf), len(index.ids)))
+        for t in range(len(index.idf)):
+            lo, hi = index.start[index.first[t]], index.start[index.first[t + 1]]
+            dense[t, index.at[lo:hi]] = index.weight[lo:hi]
+        assert np.allclose((dense**2).sum(axis=0), 1, atol=1e-5)
+        every = w @ dense[ids]
         assert np.allclose(cos, np.sort(every[every > 0])[::-1][:5], atol=1e-6)
     nothing = toxicity.fit(spark.createDataFrame([], train.schema))
     assert collect(toxicity.score_toxicity(frame(spark, [(1, "x")]), nothing))[1]["score"] == 0
@@ -376,6 +453,51 @@ def test_toxicity_with_few_labels(spark):
     assert got[900]["score"] > got[901]["score"]
 
 
+def test_pipeline_stages(spark):
+    """Planted rows, with null and repeated ids: what each stage keeps, and whole packed rows, against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    item = prose(14)
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [
+        (1, a), (2, a), (3, a + " more"), (4, b), (4, c), (4, c),  # copies and a repeated id with different texts
+        (5, prose(20) + " " + item + " " + prose(5)), (None, prose(9) + "\n" + item), (None, prose(12)), (6, None), (7, ""),
+        (8, prose(3000)), (9, "a line that several documents share\n" + prose(30)), (10, prose(30) + "\na line that several documents share"),
+    ]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert near.columns == docs.columns
+    # a, its copies and its variant are one class; rows that repeat everything stay once
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter([(1, a), (4, b), (4, c), *rows[6:]])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = corpus_pipeline.without_items(docs, bench)
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+    cut = corpus_pipeline.line_dedup(spark, docs, "")
+    text = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert text[9] == rows[12][1] and text[10] == rows[13][1].split("\n")[0]
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect() if r["doc_id"] == 10)
+    packed = corpus_pipeline.packing(spark, docs, "").collect()
+    tokenizer = packing.WordTokens(packing.default_tokenizer()).tokenizer
+    expected = Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            raw = np.array(ids[at : at + 2048], "<u4").tobytes()
+            expected[d, k, at, len(raw) // 4, zlib.crc32(raw)] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == expected
+    filled = defaultdict(list)
+    for r in packed:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in filled.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

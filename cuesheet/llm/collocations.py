@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import LOWER, UPPER, narrow, table
+from cuesheet.llm.common import LOWER, UPPER, lean, narrow, table
 from cuesheet.session import materialize
 
 LONGEST = 5
@@ -289,7 +289,7 @@ def count_pair_hashes(docs: DataFrame, word_bits, max_pairs: int = 3_000_000, ma
         fold()
         yield from out()
 
-    return docs.mapInArrow(count, "hash long, n long")
+    return docs.mapInArrow(lean(count), "hash long, n long")
 
 
 def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_entries: int = 800_000, max_words: int = 500_000, chunk: int = 2_000_000) -> DataFrame:
@@ -327,7 +327,7 @@ def count_runs(docs: DataFrame, depth: int, word_bits=None, pair_bits=None, max_
         for c in counters.values():
             yield _runs(np.array([c.seed % PARTS], np.int64), c.lang, [b""], np.array([c.total]))
 
-    return docs.mapInArrow(count, "part long, lang string, key binary, n long")
+    return docs.mapInArrow(lean(count), "part long, lang string, key binary, n long")
 
 
 def merge_runs(runs: DataFrame, at_least: int, shortest: int) -> DataFrame:
@@ -383,7 +383,7 @@ def merge_runs(runs: DataFrame, at_least: int, shortest: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     dealt = runs.repartition("part").sortWithinPartitions("lang", "key")
-    return dealt.mapInArrow(merge, "lang string, phrase string, size int, f long, hash long")
+    return dealt.mapInArrow(lean(merge), "lang string, phrase string, size int, f long, hash long")
 
 
 def frequent_bits(grams: DataFrame):

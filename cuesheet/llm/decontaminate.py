@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import narrow, table, words
+from cuesheet.llm.common import lean, narrow, table, words
 from cuesheet.session import materialize
 
 INDEX_DDL = "block long, docs array<long>, n_words array<int>, terms binary, counts binary, postings binary"
@@ -59,7 +59,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield block()
 
     source = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return materialize(source.mapInArrow(post, INDEX_DDL), "positional-index")
+    return materialize(source.mapInArrow(lean(post), INDEX_DDL), "positional-index")
 
 
 @dataclass
@@ -194,7 +194,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
                                 col.append(v)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, HITS)], names=[n for n, _ in HITS])
 
-        hits = index.mapInArrow(find, HITS_DDL)
+        hits = index.mapInArrow(lean(find), HITS_DDL)
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -215,7 +215,7 @@ def contamination(index: DataFrame, hits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["block", "doc_no", "n_hit", "n_items", "items_sha256"])
 
     per_doc = hits.where("kind = 'exact'").groupBy("block", "doc_no").agg(F.collect_list(F.struct("start", "stop", "item_id")).alias("spans"))
-    counted = per_doc.mapInArrow(count, "block long, doc_no int, n_hit long, n_items long, items_sha256 string")
+    counted = per_doc.mapInArrow(lean(count), "block long, doc_no int, n_hit long, n_items long, items_sha256 string")
     directory = index.select("block", F.posexplode(F.arrays_zip("docs", "n_words")).alias("doc_no", "d")).select(
         "block", "doc_no", F.col("d.docs").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words")
     )

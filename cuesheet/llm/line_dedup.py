@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import components, encode, narrow, prune_by_ids, table, whole_runs, words
+from cuesheet.llm.common import components, encode, lean, narrow, prune_by_ids, table, whole_runs, words
 from cuesheet.llm.linking import shared_buckets, with_texts
 from cuesheet.llm.minhash import WordHash, mix, shingles, weighted_jaccard
 from cuesheet.session import materialize
@@ -210,7 +210,7 @@ def line_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
         if rows:
             yield out(rows, new)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, line_no int, id long, n_chars int, keys array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(lean(run), "doc_id long, th long, line_no int, id long, n_chars int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
@@ -242,7 +242,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
                         out[1].append(raw)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["id", "text"])
 
-    return docs.select("text").mapInArrow(run, "id long, text binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(lean(run), "id long, text binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def shared_key(x: np.ndarray, y: np.ndarray, own: int) -> np.ndarray:
@@ -322,7 +322,7 @@ def close_pairs(rows: DataFrame, edits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, c)], names=["a", "b", "n"])
 
     columns = ["grp", "key", "slice", "cross", "id", "text", "n"]
-    return rows.select(columns).repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(work, "a long, b long, n long")
+    return rows.select(columns).repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(lean(work), "a long, b long, n long")
 
 
 def edit_links(docs: DataFrame, rows: DataFrame, edits: int, slice_rows: int = 1024, slice_bytes: int = 8_000_000) -> DataFrame:
@@ -419,8 +419,8 @@ def whole_copies(base: DataFrame, linked: DataFrame, max_share: float, similarit
             yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(ok, pa.bool_()))], names=["copy"])
 
     # the source has the smaller id, so its text comes first in the pair
-    left = texts.where("n = 1").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(strip, "id long, text string")
-    return with_texts(pairs, left).mapInArrow(check, "copy long")
+    left = texts.where("n = 1").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(lean(strip), "id long, text string")
+    return with_texts(pairs, left).mapInArrow(lean(check), "copy long")
 
 
 def line_dedup(
@@ -462,7 +462,7 @@ def line_dedup(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     ddl = "doc_id long, text string, n_lines long, n_repeated long, n_dropped long, n_links long, class_ids array<long>"
-    return base.join(lists, (base["doc_id"] == lists["__id"]) & (F.xxhash64(base["text"]) == lists["__th"]), "left").select("doc_id", "text", "__lines", "__whole").mapInArrow(cut, ddl)
+    return base.join(lists, (base["doc_id"] == lists["__id"]) & (F.xxhash64(base["text"]) == lists["__th"]), "left").select("doc_id", "text", "__lines", "__whole").mapInArrow(lean(cut), ddl)
 
 
 def _lists(base: DataFrame, edits: int, min_chars: int, max_share: float, similarity: float) -> DataFrame:
@@ -506,7 +506,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, ma
             yield b
 
     joined = docs.join(lists, (docs["doc_id"] == lists["__id"]) & (F.xxhash64(docs["text"]) == lists["__th"]), "left")
-    return joined.select(*docs.columns, "__lines", "__whole").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "__lines", "__whole").mapInArrow(lean(cut), docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

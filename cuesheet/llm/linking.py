@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import components, whole_runs
+from cuesheet.llm.common import components, lean, whole_runs
 from cuesheet.session import materialize
 
 PAIRS = "a long, b long"
@@ -51,7 +51,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[ok], pa.int64()) for x in (key, ids)], names=["key", "id"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "role", "id")
-    return dealt.mapInArrow(keep, "key long, id long").distinct()
+    return dealt.mapInArrow(lean(keep), "key long, id long").distinct()
 
 
 def star_pairs(rows: DataFrame, close: Close, least: float, width: int, sample: int = 64) -> DataFrame:
@@ -77,7 +77,7 @@ def star_pairs(rows: DataFrame, close: Close, least: float, width: int, sample:
             i = i[close(sig[i], sig[mid[i]]) >= least]
             yield _pairs(ids[i], ids[mid[i]])
 
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pair, PAIRS).distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(pair), PAIRS).distinct()
 
 
 def histogram(hashes: np.ndarray, bins: int = 512) -> bytes:
@@ -142,7 +142,7 @@ def cross_pairs(rows: DataFrame, close: Close, least: float, width: int, similar
                         yield from near(x[i], y[j])
 
     columns = ["key", "comp", "id", "sig", *numbers]
-    return rows.select(columns).repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(pair, PAIRS).distinct()
+    return rows.select(columns).repartition("key").sortWithinPartitions("key", "comp", "id").mapInArrow(lean(pair), PAIRS).distinct()
 
 
 def link(
@@ -201,4 +201,4 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["a", "b", "ta", "tb"])
 
     dealt = need.join(texts, "id").repartition("a", "b").sortWithinPartitions("a", "b", "id")
-    return dealt.select("a", "b", "text").mapInArrow(join, "a long, b long, ta string, tb string")
+    return dealt.select("a", "b", "text").mapInArrow(lean(join), "a long, b long, ta string, tb string")

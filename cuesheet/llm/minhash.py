@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import narrow, prune_by_ids, table, words
+from cuesheet.llm.common import lean, narrow, prune_by_ids, table, words
 from cuesheet.llm.linking import histogram, link, with_texts
 from cuesheet.session import materialize
 
@@ -152,7 +152,7 @@ def sign(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
         if ids:
             yield signed(ids, contents, bags)
 
-    return docs.mapInArrow(run, "doc_id long, content binary, bands array<long>, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, content binary, bands array<long>, sig binary")
 
 
 def near_duplicates(
@@ -203,7 +203,7 @@ def near_duplicates(
                 cols = [b.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(histogram, found), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "size", "bag"])
 
-        return texts_of(ids).mapInArrow(spell, "id long, size long, bag binary")
+        return texts_of(ids).mapInArrow(lean(spell), "id long, size long, bag binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -218,7 +218,7 @@ def near_duplicates(
                     ok.append(weighted_jaccard(last[1], shingles(words(tb.as_py()), hashes, size)) >= similarity)
                 yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        return with_texts(pairs, one).mapInArrow(check, "a long, b long")
+        return with_texts(pairs, one).mapInArrow(lean(check), "a long, b long")
 
     _, roots = link(keyed, sigs, equal_registers, enough, m, verify, "minhash", bags, similarity)
     nodes = signed.select("doc_id", "content").join(classes.select("content", "id"), "content", "left")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import narrow, table
+from cuesheet.llm.common import lean, narrow, table
 from cuesheet.session import materialize
 
 #: The end of a chunk can hide what follows from this many code points before it: two of
@@ -228,7 +228,7 @@ def count_short(docs: DataFrame, path: str, batch_chars: int = 2_000_000) -> Dat
             counts += tok.counts(held)
             yield pa.RecordBatch.from_arrays([b.column(0), sizes.cast(pa.int64()), pa.array(counts, pa.int64())], schema=_COUNTS)
 
-    return docs.mapInArrow(count, _ddl(_COUNTS))
+    return docs.mapInArrow(lean(count), _ddl(_COUNTS))
 
 
 def cut_chunks(docs: DataFrame, step: int, overlap: int) -> DataFrame:
@@ -250,7 +250,7 @@ def cut_chunks(docs: DataFrame, step: int, overlap: int) -> DataFrame:
                     yield _batch(_CHUNKS, [(uid, doc, size, k, begin, lo - begin, text[begin:end])])
                 uid += 1
 
-    return docs.mapInArrow(cut, _ddl(_CHUNKS))
+    return docs.mapInArrow(lean(cut), _ddl(_CHUNKS))
 
 
 def encode_chunks(chunks: DataFrame, path: str, step: int, overlap: int) -> DataFrame:
@@ -296,7 +296,7 @@ def encode_chunks(chunks: DataFrame, path: str, step: int, overlap: int) -> Data
                 out.append((*key, last["k"] + 1, 2, begin + length, "", n, b""))
             yield _batch(_SIDES, out)
 
-    return chunks.select("uid", "doc_id", "n_bytes", "grp", "k", "start", "core", "more", "text").mapInArrow(encode, _ddl(_SIDES))
+    return chunks.select("uid", "doc_id", "n_bytes", "grp", "k", "start", "core", "more", "text").mapInArrow(lean(encode), _ddl(_SIDES))
 
 
 def seams(sides: DataFrame, path: str) -> DataFrame:
@@ -324,7 +324,7 @@ def seams(sides: DataFrame, path: str) -> DataFrame:
                     out.append((*key, ok, left[1] + found[0] - found[1] if ok else 0))
             yield _batch(_SEAMS, out)
 
-    return sides.repartition("uid", "cut").sortWithinPartitions("uid", "cut", "side").mapInArrow(pair, _ddl(_SEAMS))
+    return sides.repartition("uid", "cut").sortWithinPartitions("uid", "cut", "side").mapInArrow(lean(pair), _ddl(_SEAMS))
 
 
 def count_long(docs: DataFrame, path: str, step: int, overlap: int) -> DataFrame:

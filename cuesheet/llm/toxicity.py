@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import narrow, table, words
+from cuesheet.llm.common import lean, narrow, table, words
 from cuesheet.session import materialize
 
 #: Lengths in bytes of the word beginnings that are terms beside the whole word.
 STEMS = (4, 5, 6)
+#: How much better (share of pairs in the right order) a ranking with more terms must be.
+GAIN = 0.002
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -65,7 +67,7 @@ class Index:
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
         self.blocks, self.start = block[new].astype(np.int64), np.append(new, len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        self.first = np.searchsorted(term[new], np.arange(len(self.idf) + 1))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights; a text without weighted terms has none."""
@@ -179,16 +181,16 @@ def class_counts(examples: DataFrame) -> DataFrame:
                 for w in set(words(text.as_py())):
                     ts = memo.get(w)
                     if ts is None:
-                        if len(memo) > 200_000:
+                        if len(memo) > 50_000:
                             memo.clear()
                         ts = memo[w] = terms_of(w)
                     found.update(ts)
                 sums[1 if toxic else 0].update(found)
-                if len(sums[0]) + len(sums[1]) > 600_000:
+                if len(sums[0]) + len(sums[1]) > 300_000:
                     yield from flush()
         yield from flush()
 
-    partial = examples.select("text", "toxic").mapInArrow(count, "term binary, pos long, neg long")
+    partial = examples.select("text", "toxic").mapInArrow(lean(count), "term binary, pos long, neg long")
     return partial.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -200,15 +202,19 @@ def ranking(votes: np.ndarray, labels: np.ndarray) -> float:
     return float((rank[labels > 0].sum() - pos * (pos + 1) / 2) / max(1.0, pos * (len(labels) - pos)))
 
 
-def fit(examples: DataFrame, max_examples: int = 4096, k: int = 15, powers: tuple[int, ...] = (1, 2, 3, 4)) -> Model:
+def fit(
+    examples: DataFrame, max_examples: int = 4096, k: int = 15, powers: tuple[int, ...] = (1, 2, 3), floors: tuple[float, ...] = (3.0, 1.5)
+) -> Model:
     """The index and its calibration from labelled texts (doc_id, text, toxic).
 
     The weight of a term is its TF-IDF times a power of z, where z is by how many
     standard errors its shares of toxic and of other texts differ, in either
     direction, after the continuity correction (half a text of each class).
-    All terms are weighed; those whose difference the correction covers (such as
-    those of a single text of the larger class) weigh nothing.  The power is the
-    one of ``powers`` that ranks the examples best, each left out in turn.
+    Terms up to a floor of z weigh nothing, and neither do those whose difference the
+    correction covers (such as those of a single text of the larger class).  Power
+    and floor are those of ``powers`` and ``floors`` that rank the examples best,
+    each left out in turn; a lower floor must gain ``GAIN``.  Where no
+    term of either class is above a floor, all terms are weighed.
     Counts and inverse document frequencies cover all labelled texts given; their
     bound (see ``labelled_texts``) bounds the number of terms too.  The index
     holds at most ``max_examples`` of the texts that have a weighted term,
@@ -241,7 +247,7 @@ def fit(examples: DataFrame, max_examples: int = 4096, k: int = 15, powers: tupl
             yield pa.RecordBatch.from_arrays([*rows, *lists], names=["doc_id", "toxic", "t", "n"])
 
     with_terms = materialize(
-        examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<long>, n array<long>"), "examples"
+        examples.select("doc_id", "text", "toxic").mapInArrow(lean(vectors), "doc_id long, toxic int, t array<long>, n array<long>"), "examples"
     )
     held = {r["toxic"]: r["n"] for r in with_terms.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     found = with_terms.orderBy(F.xxhash64("t", "n", "doc_id"), "doc_id").limit(max_examples).toArrow()
@@ -252,14 +258,23 @@ def fit(examples: DataFrame, max_examples: int = 4096, k: int = 15, powers: tupl
     if not rows:
         return Model(empty, np.zeros(0), np.zeros(0), empty_score, k)
     best = None
-    for power in powers:
-        index = Index(terms, plain * z_of**power, np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], np.int64))
-        vectors_of = [index.vector(dict(zip(t, n))) for _, _, t, n in rows]
-        index.fill(vectors_of)
-        votes = np.array([index.vote(*index.nearest(*v, k, skip=j)) for j, v in enumerate(vectors_of)])
-        good = ranking(votes, index.toxic)
-        if best is None or good > best[0]:
-            best = (good, index, votes)
+    for floor in (*floors, 0.0):
+        if best is not None and floor == 0.0:
+            break
+        found_best = None
+        used = {t: i for t, i in terms.items() if z_of[i] > floor}
+        if not used:
+            continue
+        for power in powers:
+            index = Index(used, plain * z_of**power * (z_of > floor), np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], np.int64))
+            vectors_of = [index.vector({i: c for i, c in zip(t, n) if z_of[i] > floor}) for _, _, t, n in rows]
+            index.fill(vectors_of)
+            votes = np.array([index.vote(*index.nearest(*v, k, skip=j)) for j, v in enumerate(vectors_of)])
+            good = ranking(votes, index.toxic)
+            if found_best is None or good > found_best[0]:
+                found_best = (good, index, votes)
+        if best is None or found_best[0] > best[0] + GAIN:
+            best = found_best
     _, index, votes = best
     knots, values = rising(votes, index.toxic)
     # no neighbour is a vote of 0: what that says stands in for the prior
@@ -312,7 +327,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 
     source = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(score, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return source.mapInArrow(lean(score), "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -326,7 +341,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str =
             texts = b.column(b.schema.get_field_index(text_col))
             yield b.filter(pa.array([m.score(counter.counts(t.as_py()))[0] < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def third(doc_id: Column) -> Column:

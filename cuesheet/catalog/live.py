@@ -113,7 +113,19 @@ def first_requests(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("keys"))
 
 
-@query("classify_replays")
+@query("classify_replays", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT 'k' || user_id AS key, epoch(ts) AS said,
+    CASE WHEN event_type IN ('view', 'click') THEN 'request' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT DISTINCT key, 0::BIGINT AS rn, NULL::VARCHAR AS state, 0::DOUBLE AS since, NULL::VARCHAR AS verdict FROM e
+  UNION ALL
+  SELECT key, rn, CASE kind WHEN 'request' THEN coalesce(live, 'running') WHEN 'done' THEN 'done' ELSE nullif(live, 'running') END,
+    CASE WHEN kind = 'done' OR (kind = 'request' AND live IS NULL) THEN said ELSE since END,
+    CASE WHEN kind = 'request' THEN CASE live WHEN 'running' THEN 'busy' WHEN 'done' THEN 'replay' ELSE 'new' END END
+  FROM (SELECT e.key, e.rn, e.kind, e.said, w.since, CASE WHEN e.said - w.since > 86400 THEN NULL ELSE w.state END AS live
+    FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1))
+SELECT key, count(*) FILTER (WHERE verdict = 'new') AS new, count(*) FILTER (WHERE verdict = 'busy') AS busy,
+  count(*) FILTER (WHERE verdict = 'replay') AS replay FROM w GROUP BY key""")
 def classify_replays(spark, sf):
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)

@@ -73,6 +73,8 @@ SPOKEN_FORMS = (
 DIGIT_RUN = 7
 CLOCK_DOT = r"(?U)\b([01]?[0-9]|2[0-3])\.([0-5][0-9])\b"
 CURRENCY_MARK = r"[$£€¥]"
+#: What those marks are read as.
+UNIT_WORDS = sorted({w for sign, names in CURRENCY_NAMES.items() if sign in CURRENCY_MARK for w in names})
 MONEY_SIGN = r"^[$£€¥₹₩]"
 
 # Acronyms read as a word.

@@ -1,18 +1,24 @@
 """Sent against heard: which words were dropped, added or misheard.
 
 The words of one clip come from two text cells, so one clip is never larger
-than a cell.  Everything below therefore shares a single shuffle on the clip
-key: occurrence numbers, matching, gaps and the final lists.
+than a cell.  A diff therefore stays in the clip's row: word arrays, the
+alignment, gaps and the final lists, without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuesheet.functions import fixed as V
 from cuesheet.functions import words as W
 from cuesheet.operators.normalize import normalize_scripts
+from cuesheet.plans.ordered import bind
 
 SENT, SPOKEN = 0, 1
 LISTS = ("dropped", "inserted", "tail_inserted", "hard_dropped", "hard_inserted", "missing", "extra")
@@ -20,23 +26,22 @@ WORDS = "array<string>"
 
 
 def token_lists(
-    pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id", sent: str = "sent", spoken: str = "spoken"
+    pairs: DataFrame,
+    spoken_form: bool = True,
+    key: str = "clip_id",
+    sent: str = "sent",
+    spoken: str = "spoken",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(clip, a, b)``: the words of both texts, spread by clip.
+    """``(clip, ..., a, b)``: the words of both texts, in the clip's row.
 
-    The words travel as two arrays per clip, not as one row per word; every
-    later step works on this spread without another shuffle.  With
-    ``spoken_form`` both sides first go through the script rules, so that "90"
-    and "ninety" compare equal.
+    With ``spoken_form`` both sides first go through the script rules, so that
+    "90" and "ninety" compare equal.
     """
-    if not spoken_form:
-        words = lambda c: W.diff_tokens(F.col(c))
-        return pairs.select(key, words(sent).alias("a"), words(spoken).alias("b")).repartition(key)
-    texts = F.array(F.coalesce(sent, F.lit("")), F.coalesce(spoken, F.lit("")))
-    sides = normalize_scripts(pairs.select(key, F.posexplode(texts).alias("side", "text")), out="said")
-    sides = sides.select(key, F.struct("side", W.diff_tokens(F.coalesce("said", "text")).alias("t")).alias("s"))
-    both = sides.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return both.select(key, F.col("s")[SENT]["t"].alias("a"), F.col("s")[SPOKEN]["t"].alias("b"))
+    rows = pairs.select(key, *carry, F.col(sent).alias("a"), F.col(spoken).alias("b"))
+    for side in ("a", "b") if spoken_form else ():
+        rows = normalize_scripts(rows, text=side, out="__said").drop("notes", "lang_code").withColumn(side, F.coalesce("__said", side)).drop("__said")
+    return rows.select(key, *carry, W.diff_tokens(F.col("a")).alias("a"), W.diff_tokens(F.col("b")).alias("b"))
 
 
 def _sided(a: Column, b: Column) -> Column:
@@ -54,18 +59,6 @@ def tokens(
     return lists.select(key, F.explode(_sided(F.col("a"), F.col("b"))).alias("t")).select(key, "t.side", "t.pos", "t.w")
 
 
-def unequal_tokens(lists: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Token rows of the clips that differ, and one empty row for the others.
-
-    Most clips say exactly what was sent; ``same_n`` holds their word count, so
-    they need no matching at all.
-    """
-    same = F.col("a") == F.col("b")
-    rows = F.when(~same, _sided(F.col("a"), F.col("b")))
-    out = lists.select(key, F.when(same, F.size("a")).alias("same_n"), F.explode_outer(rows).alias("t"))
-    return out.select(key, "same_n", "t.side", "t.pos", "t.w")
-
-
 def number_occurrences(tok: DataFrame, key: str = "clip_id") -> DataFrame:
     """Add ``k``: this is the k-th time the word appears on its side."""
     w = Window.partitionBy(key, "side", "w").orderBy("pos")
@@ -79,10 +72,7 @@ def match_occurrences(tok: DataFrame, key: str = "clip_id") -> DataFrame:
     sit in the same table.
     """
     at = lambda side: F.max(F.when(F.col("side") == side, F.col("pos")))
-    same = F.max("same_n") if "same_n" in tok.columns else F.max(F.lit(None).cast("int"))
-    return number_occurrences(tok, key).groupBy(key, "w", "k").agg(
-        at(SENT).alias("sent_pos"), at(SPOKEN).alias("spoken_pos"), same.alias("same_n")
-    )
+    return number_occurrences(tok, key).groupBy(key, "w", "k").agg(at(SENT).alias("sent_pos"), at(SPOKEN).alias("spoken_pos"))
 
 
 def reordered(matches: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -93,147 +83,177 @@ def reordered(matches: DataFrame, key: str = "clip_id") -> DataFrame:
     return both.withColumn("behind", behind).groupBy(key).agg(F.count_if("behind").alias("reordered"))
 
 
-def _word_list(cond: Column, order: Column) -> Column:
-    """Words of the rows where ``cond`` holds, in ``order``."""
-    picked = F.array_sort(F.collect_list(F.when(cond, F.struct(order.alias("o"), F.col("w").alias("w")))))
-    return F.transform(picked, lambda s: s["w"])
-
-
-def _keep_order(rows: DataFrame, pair: list[str], key: str) -> DataFrame:
-    """Set ``hit`` to false where a matched pair crosses others; ``pair`` names a pair within its clip.
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence.
 
-    Matched words are ranked on both sides and cut into stretches that hold the
-    same ranks on both.  In a stretch with crossings the pairs that moved
-    farthest go (of two neighbours that change places, the one said later), and
-    of the others all that still cross.
+    Read from the start: equal words match; else the heard word is skipped if
+    that loses nothing, else the sent one.  Lengths come from bit rows (one
+    bit per heard word, one addition per sent word); only every k-th row is
+    kept, and the rows between are made again on the way, so memory grows with
+    the square root of the rows.
     """
-    own = Window.partitionBy(key, "side").orderBy("pos")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    after = own.rowsBetween(1, Window.unboundedFollowing)
-    rank, other, hit = F.col("__rank"), F.col("__other"), F.col("hit")
-    ranked = rows.withColumn("__rank", F.sum(hit.cast("long")).over(upto))
-    # the two ranks of a pair, less the own one
-    both = F.sum(F.when(hit, rank)).over(Window.partitionBy(key, *pair))
-    ranked = ranked.withColumn("__other", F.when(hit, both - rank))
-    ranked = ranked.withColumn("__cut", hit & (F.max(other).over(upto) == rank))
-    ranked = ranked.withColumn("__stretch", F.coalesce(F.sum(F.col("__cut").cast("long")).over(before), F.lit(0)))
-    ranked = ranked.withColumn("__far", F.max(F.abs(other - rank)).over(Window.partitionBy(key, "side", "__stretch")))
-    far, later = F.col("__far"), F.when(F.col("side") == SENT, other - rank).otherwise(rank - other)
-    near = F.when(far == 0, True).when(far == 1, later <= 0).otherwise(F.abs(other - rank) < far)
-    ranked = ranked.withColumn("__stays", hit & near)
-    seen = F.when(F.col("__stays"), other)
-    in_order = F.coalesce(F.max(seen).over(before) < other, F.lit(True)) & F.coalesce(F.min(seen).over(after) > other, F.lit(True))
-    kept = ranked.withColumn("hit", F.coalesce(F.col("__stays") & in_order, F.lit(False)))
-    return kept.drop("__rank", "__other", "__cut", "__stretch", "__far", "__stays")
-
-
-def align(tok: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Add ``hit`` (the word is matched, in order) and ``moved`` (it would match, but out of order) to every token.
-
-    Words that occur once on both sides, in the same order, are anchors.
-    Between two anchors the k-th sent occurrence of a word meets the k-th spoken
-    one, and pairs that cross are undone.  All windows use the spread by clip.
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    n, m = len(a) - head, len(b) - head
+    out = [(i, i) for i in range(head)]
+    if not n or not m:
+        return out
+    masks: dict[str, int] = {}
+    for j, w in enumerate(reversed(b[head:])):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = (1 << m) - 1
+    back = [masks.get(w, 0) for w in reversed(a[head:])]
+
+    def after(row: int, mask: int) -> int:
+        hit = row & mask
+        return ((row + hit) | (row - hit)) & full
+
+    step = math.isqrt(n) + 1
+    kept, row = [], full
+    for i, mask in enumerate(back):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, mask)
+    block: list[int] = []
+    i, j, at = n, m, -1
+    while i and j:
+        if at != (i - 1) // step:
+            at = (i - 1) // step
+            block = [kept[at]]
+            for mask in back[at * step : min(n, (at + 1) * step)]:
+                block.append(after(block[-1], mask))
+        if back[i - 1] >> (j - 1) & 1:
+            out.append((len(a) - i, len(b) - j))
+            i, j = i - 1, j - 1
+        elif block[i - at * step] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+_INT = T.IntegerType()
+_SPAN = T.StructType([T.StructField(n, _INT) for n in ("gap", "a_from", "a_to", "b_from", "b_to")])
+_ALIGNED = T.StructType([T.StructField("matched", _INT), T.StructField("moved", _INT), T.StructField("gaps", T.ArrayType(_SPAN))])
+
+
+@F.pandas_udf(_ALIGNED)
+def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for sent, heard in zip(a, b):
+        if sent is None:
+            rows.append((None, None, None))
+            continue
+        sent, heard = list(sent), list(heard)
+        pairs = _common(sent, heard)
+        starts = [(0, 0), *((i + 1, j + 1) for i, j in pairs)]
+        ends = [*pairs, (len(sent), len(heard))]
+        spans = [dict(zip(_SPAN.names, (g, i0, i1, j0, j1))) for g, ((i0, j0), (i1, j1)) in enumerate(zip(starts, ends)) if i0 < i1 or j0 < j1]
+        rows.append((len(pairs), (Counter(sent) & Counter(heard)).total() - len(pairs), spans))
+    return pd.DataFrame(rows, columns=_ALIGNED.names)
+
+
+def align(lists: DataFrame) -> DataFrame:
+    """Add the alignment of ``a`` and ``b``: ``matched``, ``moved`` and ``gaps``.
+
+    Words match in order, as many as can (see ``_common``).  ``moved`` counts the
+    words that are missing at one place and said at another.  A gap is what lies
+    between two matches: ``gap`` (how many matches come before it), its words
+    ``a`` and ``b``, and ``b_from``, the position of its first heard word.  Clips
+    whose words are equal have no gaps and are not sent to the aligner.
     """
-    on = lambda side: F.count_if(F.col("side") == side)
-    word = Window.partitionBy(key, "w")
-    once = tok.withColumn("hit", F.coalesce((on(SENT).over(word) == 1) & (on(SPOKEN).over(word) == 1), F.lit(False)))
-    upto = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    spans = _keep_order(once, ["w"], key).withColumn("__span", F.sum(F.col("hit").cast("long")).over(upto))
-    nth = Window.partitionBy(key, "side", "w", "__span").orderBy("pos")
-    pair = ["w", "__span", "__k"]
-    met = Window.partitionBy(key, *pair)
-    found = spans.withColumn("__k", F.row_number().over(nth)).withColumn("hit", (on(SENT).over(met) == 1) & (on(SPOKEN).over(met) == 1))
-    kept = _keep_order(found.withColumn("__met", F.col("hit")), pair, key)
-    return kept.withColumn("moved", F.col("__met") & ~F.col("hit")).drop("__met", "__span", "__k")
+    same = F.col("a") == F.col("b")
+    found = lists.withColumn("__al", _align(F.when(~same, F.col("a")), F.when(~same, F.col("b"))))
+    al = F.col("__al")
+    cut = lambda words, lo, hi: F.slice(F.col(words), lo + 1, hi - lo).alias(words)
+    gaps = F.transform(
+        al["gaps"],
+        lambda g: F.struct(g["gap"].alias("gap"), cut("a", g["a_from"], g["a_to"]), cut("b", g["b_from"], g["b_to"]), g["b_from"].alias("b_from")),
+    )
+    none = F.array().cast("array<struct<gap:int,a:array<string>,b:array<string>,b_from:int>>")
+    return found.withColumns(
+        {"matched": F.coalesce(al["matched"], F.size("a")), "moved": F.coalesce(al["moved"], F.lit(0)), "gaps": F.coalesce(gaps, none)}
+    ).drop("__al")
 
 
 def gaps(aligned: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Unmatched words between the same two matches, one row per gap.
-
-    The gap number is the count of matched words before the word on its own
-    side, so both sides of a replaced span meet under one number.
-    """
-    upto = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = aligned.withColumn("gap", F.coalesce(F.sum(F.col("hit").cast("long")).over(upto), F.lit(0)))
-    is_sent, is_spoken = F.col("side") == SENT, F.col("side") == SPOKEN
-    same = F.max("same_n") if "same_n" in aligned.columns else F.max(F.lit(None).cast("int"))
-    return marked.groupBy(key, "gap").agg(
-        F.count_if(is_sent).alias("sent_words"),
-        F.count_if(is_spoken).alias("spoken_words"),
-        F.count_if(F.col("hit") & is_sent).alias("matched"),
-        F.count_if(F.col("moved") & is_sent).alias("reordered"),
-        same.alias("same_n"),
-        _word_list(~F.col("hit") & is_sent, F.col("pos")).alias("a"),
-        _word_list(~F.col("hit") & is_spoken, F.col("pos")).alias("b"),
-    )
+    """Unmatched words between the same two matches, one row per gap that has any."""
+    return aligned.select(key, F.explode("gaps").alias("g")).select(key, "g.gap", "g.a", "g.b")
 
 
-def pair_substitutions(gap_rows: DataFrame, threshold: float = V.SIMILARITY) -> DataFrame:
-    """Split every gap into missing, extra and misheard words."""
-    a, b = F.col("a"), F.col("b")
+def _classified(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
+    """``kind`` of a gap, and its misheard pairs."""
     both = (F.size(a) > 0) & (F.size(b) > 0)
-    pairs = F.arrays_zip(a.alias("sent"), b.alias("heard"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["sent"].alias("sent"), p["heard"].alias("heard")))
+    pairs = F.transform(F.arrays_zip(a.alias("sent"), b.alias("heard")), lambda p: F.struct(p["sent"].alias("sent"), p["heard"].alias("heard")))
     alike = (F.size(a) == F.size(b)) & F.forall(pairs, lambda p: W.likely_misheard(p["sent"], p["heard"], threshold))
     none = F.array().cast("array<struct<sent:string,heard:string>>")
     respaced = F.array(F.struct(F.array_join(a, " ").alias("sent"), F.array_join(b, " ").alias("heard")))
     kind = F.when(both & W.same_spoken_form(a, b), "respaced").when(both & alike, "misheard").otherwise("defect")
-    staged = gap_rows.withColumn("kind", F.when((F.size(a) == 0) & (F.size(b) == 0), "none").otherwise(kind))
-    defect = F.col("kind") == "defect"
-    empty = F.array().cast(WORDS)
-    return staged.withColumns(
-        {
-            "missing": F.when(defect, a).otherwise(empty),
-            "extra": F.when(defect, b).otherwise(empty),
-            "misheard": F.when(F.col("kind") == "respaced", respaced)
-            .when(F.col("kind") == "misheard", pairs)
-            .otherwise(none),
-        }
-    )
+    return kind, F.when(kind == "respaced", respaced).when(kind == "misheard", pairs).otherwise(none)
 
 
-def diff_tokens_table(tok: DataFrame, key: str = "clip_id", threshold: float = V.SIMILARITY) -> DataFrame:
-    """The word diff of every clip in a token table."""
-    rows = pair_substitutions(gaps(align(tok, key), key), threshold)
-    in_order = lambda c: F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("gap").alias("g"), F.col(c).alias("v")))), lambda s: s["v"]
-    )
-    last_gap = F.struct("gap", "a", "b")
-    same = F.coalesce(F.max("same_n"), F.lit(0))
-    grouped = rows.groupBy(key).agg(
-        *[(F.sum(c) + same).cast("int").alias(c) for c in ("sent_words", "spoken_words", "matched")],
-        F.sum("reordered").cast("int").alias("reordered"),
-        *[F.flatten(in_order(c)).alias(n) for c, n in (("a", "dropped"), ("b", "inserted"))],
-        *[F.flatten(in_order(c)).alias(c) for c in ("missing", "extra", "misheard")],
-        F.max(last_gap).alias("last"),
+def pair_substitutions(gap_rows: DataFrame, threshold: float = V.SIMILARITY) -> DataFrame:
+    """Split every gap into missing, extra and misheard words."""
+    kind, misheard = _classified(F.col("a"), F.col("b"), threshold)
+    defect, empty = F.col("kind") == "defect", F.array().cast(WORDS)
+    return gap_rows.withColumn("kind", kind).withColumns(
+        {"missing": F.when(defect, F.col("a")).otherwise(empty), "extra": F.when(defect, F.col("b")).otherwise(empty), "misheard": misheard}
     )
-    last = F.col("last")
+
+
+def _sealed(c: Column) -> Column:
+    """A value that the optimizer does not write out again wherever it is used."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def diff_lists(lists: DataFrame, key: str = "clip_id", threshold: float = V.SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The word diff of every clip of a table ``(clip, ..., a, b)``: no shuffle, everything stays in the clip's row.
+
+    ``keep`` names columns of the alignment (``b``, ``gaps``) to be kept as well.
+    """
+    carried = [c for c in lists.columns if c not in ("a", "b")]
+
+    def told(g: Column) -> Column:
+        kind, misheard = _classified(g["a"], g["b"], threshold)
+        return F.struct(*(g[f].alias(f) for f in ("gap", "a", "b", "b_from")), kind.alias("kind"), misheard.alias("misheard"))
+
+    rows = align(lists).withColumn("gaps", _sealed(F.transform("gaps", told)))
+    every = lambda field, keep=None: F.flatten(F.transform(F.filter("gaps", keep) if keep else F.col("gaps"), lambda g: g[field]))
+    defect = lambda g: g["kind"] == "defect"
+    last = F.try_element_at(F.col("gaps"), F.lit(-1))
     tail = F.when((last["gap"] == F.col("matched")) & (F.size(last["a"]) == 0), last["b"])
-    return grouped.select(
-        key,
-        "sent_words",
-        "spoken_words",
-        "dropped",
-        "inserted",
+    staged = rows.select(
+        *carried,
+        *keep,
+        F.size("a").alias("sent_words"),
+        F.size("b").alias("spoken_words"),
+        every("a").alias("dropped"),
+        every("b").alias("inserted"),
         F.coalesce(tail, F.array().cast(WORDS)).alias("tail_inserted"),
-        W.strip_soft(F.col("dropped")).alias("hard_dropped"),
-        W.strip_soft(F.col("inserted")).alias("hard_inserted"),
-        W.strip_soft(F.col("missing")).alias("missing"),
-        W.strip_soft(F.col("extra")).alias("extra"),
-        "misheard",
-        F.bround(F.col("matched") / F.greatest("sent_words", F.lit(1)), 4).alias("word_accuracy"),
-        "reordered",
+        every("a", defect).alias("missing"),
+        every("b", defect).alias("extra"),
+        every("misheard").alias("misheard"),
+        F.bround(F.col("matched") / F.greatest(F.size("a"), F.lit(1)), 4).alias("word_accuracy"),
+        F.col("moved").alias("reordered"),
+    )
+    return staged.select(
+        *carried,
+        *keep,
+        *("sent_words", "spoken_words", "dropped", "inserted", "tail_inserted"),
+        *(W.strip_soft(F.col(c)).alias(n) for n, c in (("hard_dropped", "dropped"), ("hard_inserted", "inserted"), ("missing", "missing"), ("extra", "extra"))),
+        *("misheard", "word_accuracy", "reordered"),
     ).withColumn("ok", (F.size("hard_dropped") == 0) & (F.size("hard_inserted") == 0))
 
 
-def word_diff(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id") -> DataFrame:
-    """Word diff of ``(clip_id, sent, spoken)`` rows, counts respected.
+def word_diff(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Word diff of ``(clip_id, sent, spoken)`` rows, counts and order respected.
 
-    Words match in order (see ``align``): a moved word is dropped at one place
-    and inserted at another; ``reordered`` counts the moved ones.
+    As many words as can match in order do (see ``align``): a moved word is
+    dropped at one place and inserted at another; ``reordered`` counts those.
+    ``carry`` names columns that stay in the row.
     """
-    return diff_tokens_table(unequal_tokens(token_lists(pairs, spoken_form, key), key), key)
+    return diff_lists(token_lists(pairs, spoken_form, key, carry=carry), key)
 
 
 def word_counts(pairs: DataFrame, spoken_form: bool = True, key: str = "clip_id") -> DataFrame:
@@ -297,54 +317,53 @@ def describe(diffs: DataFrame, limit: int = 6) -> DataFrame:
     )
 
 
-def _candidate_texts(spoken: Column) -> Column:
-    """Other defensible readings: clock dots, and each subset of currency marks.
+DIFF = ("sent_words", "spoken_words", *LISTS[:5], "missing", "extra", "misheard", "word_accuracy", "reordered", "ok")
+
 
-    Only the first four marks are tried, so there are at most 16 readings.
+def _without_unsaid_marks(spoken: Column, b: Column, gaps: Column) -> Column:
+    """The text without the currency marks whose unit word matches nothing; null where all of them match.
+
+    A mark before a number makes one unit word, behind its amount.  The unit
+    words of the reading ``b``, in order, are those of the marks and those
+    that were written out, in order; where their numbers differ (a
+    unit inside something that is not read), all marks go.
     """
-    clock = F.when(spoken.rlike(V.CLOCK_DOT), F.regexp_replace(spoken, V.CLOCK_DOT, "$1:$2"))
-    parts = F.split(spoken, V.CURRENCY_MARK, -1)
-    marks = F.regexp_extract_all(spoken, F.lit(f"({V.CURRENCY_MARK})"), F.lit(1))
-    subsets = F.sequence(F.lit(1), F.lit(15))
-
-    def without(mask: Column) -> Column:
-        keep = lambda i: (i < 4) & (F.bit_get(mask, F.least(i, F.lit(3))) == 1)
-        rest = F.transform(
-            F.slice(parts, 2, F.size(parts)),
-            lambda p, i: F.concat(F.when(keep(i), F.lit("")).otherwise(F.get(marks, i)), p),
-        )
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
-
-    limit = F.pow(F.lit(2), F.least(F.size(marks), F.lit(4))).cast("int")
-    dropped = F.transform(
-        F.filter(subsets, lambda m: m < limit),
-        lambda m: F.struct((m.cast("int") + 1).alias("reading"), without(m.cast("long")).alias("text")),
-    )
-    first = F.struct(F.lit(1).alias("reading"), clock.alias("text"))
-    return F.filter(F.concat(F.array(first), dropped), lambda s: s["text"].isNotNull())
+    events = F.regexp_extract_all(spoken, F.lit(f"({V.CURRENCY_MARK})(?=\\s?[0-9])|(?i)(?<![\\w'])(?:{'|'.join(V.UNIT_WORDS)})(?![\\w'])"), F.lit(0))
+    units = F.array_compact(F.transform(b, lambda w, i: F.when(w.isin(*V.UNIT_WORDS), i)))
+    unsaid = lambda at: F.exists(gaps, lambda g: (at >= g["b_from"]) & (at < g["b_from"] + F.size(g["b"])))
+    told = F.transform(F.arrays_zip(events.alias("e"), units.alias("u")), lambda z: F.when(z["e"].rlike(f"^{V.CURRENCY_MARK}"), unsaid(z["u"])))
+    marks = F.regexp_extract_all(spoken, F.lit(f"({V.CURRENCY_MARK})(?=\\s?[0-9])"), F.lit(1))
+    drop = F.when(F.size(events) == F.size(units), F.array_compact(told)).otherwise(F.transform(marks, lambda m: F.lit(True)))
+    parts = F.split(spoken, f"{V.CURRENCY_MARK}(?=\\s?[0-9])", -1)
 
+    def text(v: Column) -> Column:
+        rest = F.transform(F.slice(v["parts"], 2, F.size(v["parts"])), lambda p, i: F.concat(F.when(F.get(v["drop"], i), F.lit("")).otherwise(F.get(v["marks"], i)), p))
+        return F.when(F.exists(v["drop"], lambda d: d), F.concat(F.get(v["parts"], F.lit(0)), F.array_join(rest, "")))
 
-def best_reading(pairs: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Word diff with the transcriber read charitably.
+    return bind(F.struct(parts.alias("parts"), marks.alias("marks"), drop.alias("drop")), text)
 
-    Other readings are tried only for clips that fail as written, and one is
-    taken only when it has fewer errors.
+
+def best_reading(pairs: DataFrame, key: str = "clip_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Word diff with the transcriber read charitably, and which ``reading`` was taken.
+
+    Clips that fail as written (0) are read with clock dots as colons (1) and
+    without the currency marks whose unit was not said (2); a reading is taken
+    only when it has fewer errors than those before it.  Each clip stays in its row.
     """
-    base = word_diff(pairs, True, key)
-    failing = base.filter(~F.col("ok")).select(key)
-    tries = (
-        pairs.filter(F.col("spoken").rlike(V.CLOCK_DOT) | F.col("spoken").rlike(V.CURRENCY_MARK))
-        .join(failing, key, "left_semi")
-        .select(F.col(key), "sent", F.explode(_candidate_texts(F.col("spoken"))).alias("c"))
-        .select(F.struct(F.col(key).alias("clip"), F.col("c.reading").alias("reading")).alias("try_id"), "sent", F.col("c.text").alias("spoken"))
-    )
-    tried = word_diff(tries, True, "try_id")
-    fields = [c for c in base.columns if c != key]
-    errors = W.diff_errors(F.col("hard_dropped"), F.col("hard_inserted"))
-    ranked = base.select(key, F.lit(0).alias("reading"), errors.alias("errors"), F.struct(*fields).alias("d")).unionByName(
-        tried.select(
-            F.col("try_id.clip").alias(key), F.col("try_id.reading").alias("reading"), errors.alias("errors"), F.struct(*fields).alias("d")
-        )
-    )
-    best = ranked.groupBy(key).agg(F.min_by(F.struct("d", "reading"), F.struct("errors", "reading")).alias("b"))
-    return best.select(key, "b.d.*", F.col("b.reading").alias("reading"))
+    lists = token_lists(pairs, True, key, carry=(*carry, "spoken"))
+    rows = diff_lists(lists.withColumn("a_words", F.col("a")), key, keep=("b", "gaps"))
+    spoken, failed = F.col("spoken"), ~F.col("ok")
+    clock = F.when(failed & spoken.rlike(V.CLOCK_DOT), F.regexp_replace(spoken, V.CLOCK_DOT, "$1:$2"))
+    money = F.when(failed & spoken.rlike(V.CURRENCY_MARK), _without_unsaid_marks(spoken, F.col("b"), F.col("gaps")))
+    own = [key, *carry, "a_words"]
+    rows = rows.select(*own, _sealed(F.struct(*DIFF, F.lit(0).alias("reading"))).alias("d0"), _sealed(clock).alias("t1"), _sealed(money).alias("t2"))
+    for n in (1, 2):
+        held = [c for c in rows.columns if c not in ("a_words", f"t{n}")]
+        said = normalize_scripts(rows, text=f"t{n}", out="__said").drop("notes", "lang_code")
+        other = W.diff_tokens(F.coalesce("__said", f"t{n}"))
+        tried = said.select(*held, "a_words", F.col("a_words").alias("a"), F.when(F.col(f"t{n}").isNull(), F.col("a_words")).otherwise(other).alias("b"), F.col(f"t{n}").isNotNull().alias("tried_on"))
+        rows = diff_lists(tried, key).select(*held, "a_words", _sealed(F.when(F.col("tried_on"), F.struct(*DIFF, F.lit(n).alias("reading")))).alias(f"d{n}"))
+    errors = lambda d: W.diff_errors(d["hard_dropped"], d["hard_inserted"])
+    ranked = F.array_compact(F.array(*(F.when(F.col(d).isNotNull(), F.struct(errors(F.col(d)).alias("errors"), F.lit(n).alias("n"))) for n, d in enumerate(("d0", "d1", "d2")))))
+    best = F.array_min(ranked)["n"]
+    return rows.select(key, *carry, _sealed(F.when(best == 0, F.col("d0")).when(best == 1, F.col("d1")).otherwise(F.col("d2"))).alias("d")).select(key, *carry, "d.*")

@@ -27,19 +27,24 @@ def to_mono_float(df: DataFrame, kind: str = "float", left: str = "left", right:
 
 
 def frames(blocks: DataFrame, frame_ms: float = 20.0, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """``(clip_id, frame_no, db, sumsq, n)``; a ragged tail is left out."""
+    """``(clip_id, frame_no, db, sumsq, n)``; a ragged tail is left out.
+
+    A clip of less than one frame is one frame of its ``n`` samples.
+    """
     staged = blocks.withColumn("__f", A.frame_len(F.col("sr"), frame_ms))
     count = F.floor(F.size("samples") / F.col("__f")).cast("int")
     cut = lambda i: A.sum_squares(F.slice("samples", i * F.col("__f") + 1, F.col("__f")))
-    sums = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), cut))
-    rows = staged.select("clip_id", "sr", "block_no", "__f", F.posexplode(sums).alias("i", "sumsq"))
+    # only the first block can be shorter than a frame without being a ragged tail
+    sums = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), cut)).when(F.col("block_no") == 0, F.array(A.sum_squares(F.col("samples"))))
+    used = F.when(count > 0, F.col("__f")).otherwise(F.size("samples")).alias("__n")
+    rows = staged.select("clip_id", "sr", "block_no", used, F.posexplode(sums).alias("i", "sumsq"))
     return rows.select(
         "clip_id",
         "sr",
         (F.col("block_no") * block_frames + F.col("i")).cast("long").alias("frame_no"),
-        A.db(F.sqrt(F.col("sumsq") / F.col("__f"))).alias("db"),
+        A.db(F.sqrt(F.col("sumsq") / F.greatest("__n", F.lit(1)))).alias("db"),
         "sumsq",
-        F.col("__f").alias("n"),
+        F.col("__n").alias("n"),
     )
 
 

@@ -49,9 +49,11 @@ def cancel_queued(jobs: DataFrame) -> DataFrame:
 
 def jobs_with_reports(jobs: DataFrame, renders: DataFrame) -> DataFrame:
     """Finished jobs carry their report fields, others null."""
-    done = jobs.withColumn("__k", F.when(F.col("status") == "Done", F.col("job_id")))
-    fields = renders.select(F.col("job_id").alias("__k"), "rtf", "audio_sec")
-    return done.join(fields, "__k", "left").drop("__k")
+    fields = renders.select("job_id", "rtf", "audio_sec")
+    is_done = F.coalesce(F.col("status") == "Done", F.lit(False))
+    # jobs that are not done are not joined at all: as null keys they would share one task
+    rest = jobs.filter(~is_done).select("*", *(F.lit(None).cast(fields.schema[c].dataType).alias(c) for c in ("rtf", "audio_sec")))
+    return jobs.filter(is_done).join(fields, "job_id", "left").select(rest.columns).unionByName(rest)
 
 
 def public_jobs(jobs: DataFrame) -> DataFrame:

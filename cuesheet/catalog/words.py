@@ -296,8 +296,15 @@ def audit_spoken(spark, sf):
 
 
 QUERIES["audit_totals_spoken_form"] = audit_spoken
-# the turns hold no figures, so their spoken form has the same words; charitable_money has figures
-ORACLE["audit_totals_spoken_form"] = f"WITH {REAL_SQL} SELECT {_TOTALS} FROM reals"
+# the turns hold no figures: of the script rules only the one on list marks changes their words; charitable_money has figures
+_MARKS_OFF = "regexp_replace({0}, '(?m)^[ \\t]{{0,8}}(?:[-*•‣▪·]|[0-9]{{1,3}}[.)]|[a-zA-Z][.)])[ \\t]+', '', 'g')"
+_SAID = f"""pairs AS (
+  SELECT a.conv_id * 100 + a.turn AS clip_id, a.role AS voice_id, {_MARKS_OFF.format("a.text")} AS sent, {_MARKS_OFF.format("b.text")} AS spoken
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+SAID_SQL = _chain(_SAID)[2]
+ORACLE["audit_totals_spoken_form"] = f"""WITH {SAID_SQL}, owned AS (SELECT *, flatten(list_transform(misheard, lambda p: [p.s, p.h])) AS own FROM diff),
+reals AS (SELECT *, list_filter(hard_dropped, lambda w: NOT list_contains(own, w)) AS rd, list_filter(hard_inserted, lambda w: NOT list_contains(own, w)) AS ra FROM owned)
+SELECT {_TOTALS} FROM reals"""
 
 
 def audit_rows(spark, sf):
@@ -445,7 +452,7 @@ def best_reading(spark, sf):
 
 
 QUERIES["best_reading"] = best_reading
-ORACLE["best_reading"] = f"WITH {CLASS_SQL} SELECT clip_id, 0 AS reading, word_accuracy, len(hard_dropped) = 0 AND len(hard_inserted) = 0 AS ok FROM diff"
+ORACLE["best_reading"] = f"WITH {SAID_SQL} SELECT clip_id, 0 AS reading, word_accuracy, len(hard_dropped) = 0 AND len(hard_inserted) = 0 AS ok FROM diff"
 
 
 def charitable_money(spark, sf):

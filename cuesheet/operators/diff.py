@@ -154,6 +154,11 @@ def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_ALIGNED.names)
 
 
+def _sealed(c: Column) -> Column:
+    """A value that the optimizer does not write out again wherever it is used."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def align(lists: DataFrame) -> DataFrame:
     """Add the alignment of ``a`` and ``b``: ``matched``, ``moved`` and ``gaps``.
 
@@ -164,7 +169,7 @@ def align(lists: DataFrame) -> DataFrame:
     whose words are equal have no gaps and are not sent to the aligner.
     """
     same = F.col("a") == F.col("b")
-    found = lists.withColumn("__al", _align(F.when(~same, F.col("a")), F.when(~same, F.col("b"))))
+    found = lists.withColumn("__al", _sealed(_align(F.when(~same, F.col("a")), F.when(~same, F.col("b")))))
     al = F.col("__al")
     cut = lambda words, lo, hi: F.slice(F.col(words), lo + 1, hi - lo).alias(words)
     gaps = F.transform(
@@ -202,11 +207,6 @@ def pair_substitutions(gap_rows: DataFrame, threshold: float = V.SIMILARITY) ->
     )
 
 
-def _sealed(c: Column) -> Column:
-    """A value that the optimizer does not write out again wherever it is used."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
-
-
 def diff_lists(lists: DataFrame, key: str = "clip_id", threshold: float = V.SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """The word diff of every clip of a table ``(clip, ..., a, b)``: no shuffle, everything stays in the clip's row.
 

@@ -20,7 +20,7 @@ FULL = [
     ("The May 9 market was loud.", "The May ninth market was loud."),
     ("We counted 240 geese.", "We counted two hundred forty geese."),
     ("Floods of 2019 and 1807 and 2003", "Floods of twenty nineteen and eighteen oh-seven and two thousand and three"),
-    ("Ring 555-867-5309 today.", "Ring five five five, eight six seven, five three oh nine today."),
+    ("Ring 555-867-5309 today.", "Ring five five five, eight six seven, five three zero nine today."),
     ("Rows 7-8 are empty", "Rows 7-8 are empty"),
     ("Tea is served at 4:20.", "Tea is served at four twenty."),
     ("Tea is served at 6:00.", "Tea is served at six o'clock."),

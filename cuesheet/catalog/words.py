@@ -452,7 +452,7 @@ def best_reading(spark, sf):
 
 
 QUERIES["best_reading"] = best_reading
-ORACLE["best_reading"] = f"WITH {SAID_SQL} SELECT clip_id, 0 AS reading, word_accuracy, len(hard_dropped) = 0 AND len(hard_inserted) = 0 AS ok FROM diff"
+ORACLE["best_reading"] = f"WITH {SAID_SQL} SELECT clip_id, 0::BIGINT AS reading, word_accuracy, len(hard_dropped) = 0 AND len(hard_inserted) = 0 AS ok FROM diff"
 
 
 def charitable_money(spark, sf):
@@ -472,7 +472,7 @@ def charitable_money(spark, sf):
 
 QUERIES["charitable_money"] = charitable_money
 ORACLE["charitable_money"] = """
-SELECT o_orderkey AS clip_id, CASE WHEN o_orderkey % 8 = 7 THEN 0 ELSE 2 END AS reading, 1.0::DOUBLE AS word_accuracy, o_orderkey % 11 <> 0 AS ok,
+SELECT o_orderkey AS clip_id, CAST(CASE WHEN o_orderkey % 8 = 7 THEN 0 ELSE 2 END AS BIGINT) AS reading, 1.0::DOUBLE AS word_accuracy, o_orderkey % 11 <> 0 AS ok,
   '' AS dropped, CASE WHEN o_orderkey % 11 = 0 THEN 'indeed' ELSE '' END AS inserted FROM orders"""
 
 

@@ -231,7 +231,9 @@ def fit(
     error = F.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg))
     z = (F.col("pos") / F.lit(float(pos)) - F.col("neg") / F.lit(float(neg))) / error
     half = 0.5 * (1 / pos + 1 / neg) / error
-    chosen = class_counts(examples).withColumn("z", F.abs(z) - half).where("z > 0").orderBy(F.desc("z"), "term").toArrow()
+    weighed = materialize(class_counts(examples).withColumn("z", F.abs(z) - half).where("z > 0"), "weighed-terms")
+    above = weighed.where(F.col("z") > min(floors))
+    chosen = (weighed if above.isEmpty() else above).orderBy(F.desc("z"), "term").toArrow()
     terms = {t: i for i, t in enumerate(chosen.column("term").to_pylist())}
     plain = np.log((1 + pos + neg) / (1.0 + chosen.column("pos").to_numpy() + chosen.column("neg").to_numpy()))
     z_of = chosen.column("z").to_numpy()

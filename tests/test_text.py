@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cuesheet.catalog.base import spread
 from cuesheet.functions import numbers as N
 from cuesheet.functions import text as X
 from cuesheet.operators import chunking as C
@@ -164,3 +165,28 @@ def test_entities_like_a_browser(spark):
     ]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     assert [r[0] for r in df.select(X.decode_entities(F.col("t"))).collect()] == [html.unescape(c) for c in cases]
+
+
+def test_gated_steps_equal_the_whole_rules(spark):
+    texts = ["a  b\t, c ,, d . e!x", " lead", "tail \n", "x -- y - z — q…r", "a:b 5:30 c", '"q"; r\ns', "", "  ", "plain words", "a ,.b", "é ñ — ^ ` ☃", "a ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    for whole, steps in ((X.pauses, X.pause_steps()), (X.collapse, X.collapse_steps())):
+        out = df
+        for step in steps:
+            out = out.withColumn("t", step(F.col("t")))
+        want = [r.t for r in df.select("k", whole(F.col("t")).alias("t")).orderBy("k").collect()]
+        assert [r.t for r in out.orderBy("k").collect()] == want
+
+
+def test_small_numbers_by_table_equal_the_spelled_ones(spark):
+    rows = [(s,) for s in ("0", "007", "21", "100", "105", "999", "1000", "1005", "1105", "20000", "999999", "1000000", "0001000000")]
+    got = [r.w for r in spark.createDataFrame(rows, "d string").select(N.cardinal(F.col("d")).alias("w")).collect()]
+    assert got == [
+        "zero", "seven", "twenty-one", "one hundred", "one hundred five", "nine hundred ninety-nine", "one thousand", "one thousand and five",
+        "one thousand, one hundred five", "twenty thousand", "nine hundred ninety-nine thousand, nine hundred ninety-nine", "one million", "one million",
+    ]
+
+
+def test_a_task_does_not_grow_with_the_input(spark, tmp_path):
+    spark.range(900).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert spread(spark.read.parquet(str(tmp_path / "t")), rows=10).rdd.getNumPartitions() == 90

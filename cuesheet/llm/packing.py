@@ -124,7 +124,7 @@ class WordTokens:
         return ids, np.diff(bounds)
 
 
-def chunks(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts (UTF-8, null: empty) of runs of rows with about ``size`` bytes."""
     first, held, total = 0, [], 0
     for i, value in enumerate(column.cast(pa.large_binary()) if not pa.types.is_binary(column.type) else column):

@@ -41,7 +41,7 @@ class WordTokens:
     so each text is lower-cased (A-Z), split at ASCII white space, and each
     distinct word is encoded once; a word with a stop or comma behind it is the
     word and the mark.  Words of plain letters need no normalising and no
-    splitting and take the same model without those steps.  The first ``limit``
+    splitting and take the same model without those steps, many in one call.  The first ``limit``
     distinct words are remembered while a task runs (some 40 MB), the others for one
     chunk of texts; that changes no result.
     """
@@ -54,7 +54,8 @@ class WordTokens:
         with open(path) as f:
             plain = json.load(f)
         plain |= {"normalizer": None, "added_tokens": []}
-        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+        whole = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, whole]}
         self.letters = Tokenizer.from_str(json.dumps(plain))
         self.limit = limit
         self.slot: dict[bytes, int] = {}
@@ -63,14 +64,13 @@ class WordTokens:
         self.sizes = np.zeros(1 << 14, np.int64)
         self.used = self.kept_used = 0
 
-    def _add(self, new: list[bytes], ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, n, total = len(self.slot), len(ids), int(sizes.sum())
+    def _add(self, new: list[bytes], ids: list[int], sizes: np.ndarray) -> None:
+        at, n, total = len(self.slot), len(new), len(ids)
         while at + n > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at : at + n] = sizes
         self.used += total
@@ -79,10 +79,15 @@ class WordTokens:
     def _encode(self, new: list[bytes]) -> None:
         texts = [w.decode("utf-8") for w in new]
         plain = [t.isalpha() and max(t) < "\u0180" and "\u0130" not in t for t in texts]
-        for tokenizer, kind in ((self.letters, True), (self.tokenizer, False)):
-            some = [k for k, p in enumerate(plain) if p == kind]
-            found = tokenizer.encode_batch_fast([texts[k].lower() if kind else texts[k] for k in some], add_special_tokens=False)
-            self._add([new[k] for k in some], [e.ids for e in found])
+        some = [k for k, p in enumerate(plain) if p]
+        for at in range(0, len(some), 2000):
+            run = some[at : at + 2000]
+            found = self.letters.encode(" ".join([texts[k].lower() for k in run]), add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(run))
+            self._add([new[k] for k in run], found.ids, sizes)
+        rest = [k for k, p in enumerate(plain) if not p]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+        self._add([new[k] for k in rest], list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _word(self, w: bytes) -> list[int]:
         k = self.slot[w]
@@ -94,7 +99,8 @@ class WordTokens:
         simple = (new.difference(marked) | {w[:-1] for w in marked} | {b".", b","}).difference(self.slot)
         self._encode(list(simple))
         marks = {m[0]: self._word(m) for m in (b".", b",")}
-        self._add(marked, [self._word(w[:-1]) + marks[w[-1]] for w in marked])
+        ids = [self._word(w[:-1]) + marks[w[-1]] for w in marked]
+        self._add(marked, list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
         return [*simple, *marked]
 
     def _forget(self, added: list[bytes]) -> None:

@@ -531,3 +531,14 @@ def test_histogram_bound_never_rules_out_a_similar_pair():
     assert similar.sum() > 10
     assert kept[similar].all()
     assert not kept[~similar & (size[i] > 500) & (size[j] > 500) & (size[i] < 10_000) & (size[j] < 10_000)].all()
+
+
+def test_joined_words_have_the_ids_of_single_texts():
+    from tokenizers import Tokenizer
+
+    from cuesheet.llm.packing import WordTokens, default_tokenizer
+
+    texts = ["Plain words, plain words. Straße", "", "x1 don't (stop) end.", " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(5000))]
+    ids, counts = WordTokens(default_tokenizer()).ids([t.encode() for t in texts])
+    want = [Tokenizer.from_file(default_tokenizer()).encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]

@@ -6,6 +6,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -26,12 +27,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ends_a_word(w: bytes) -> bool:
-    """A word and one full stop or comma, which is then a piece of its own: the byte before is a letter."""
-    if len(w) < 2 or w[-1] not in b".,":
-        return False
-    c = w[-2]
-    return 97 <= c <= 122 or len(w) > 2 and w[-3] == 0xC3 and 0x80 <= c <= 0xBF and c not in (0x97, 0xB7)
+#: A run of these behind a letter is a piece of its own (no apostrophe, nothing of a special token's ends).
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
+def _head(w: bytes) -> bytes:
+    """The word without the marks behind it, which are then a piece of their own: the byte before is a letter; else the whole word."""
+    head = w.rstrip(MARKS)
+    if not head or len(head) == len(w):
+        return w
+    c = head[-1]
+    return head if 97 <= c <= 122 or len(head) > 1 and head[-2] == 0xC3 and 0x80 <= c <= 0xBF and c not in (0x97, 0xB7) else w
+
+
+def _is_plain(w: bytes) -> bool:
+    """Nothing but letters that are their own normal form, each lower-cased to one letter."""
+    if w.isascii():
+        return w.isalpha()
+    t = w.decode("utf-8")
+    return t.isalpha() and max(t) < "\u0180" and "\u0130" not in t
 
 
 class WordTokens:
@@ -39,78 +53,109 @@ class WordTokens:
 
     The tokenizer drops white space, never merges across it and ignores case,
     so each text is lower-cased (A-Z), split at ASCII white space, and each
-    distinct word is encoded once; a word with a stop or comma behind it is the
-    word and the mark.  Words of plain letters need no normalising and no
-    splitting and take the same model without those steps, many in one call.  The first ``limit``
-    distinct words are remembered while a task runs (some 40 MB), the others for one
-    chunk of texts; that changes no result.
+    distinct word is encoded once; a word with marks behind it is the word and
+    the run of marks.  Words of plain letters need no normalising and no
+    splitting and take the same model without those steps, many in one call.  About
+    ``limit`` distinct words (some 70 MB) are remembered from one chunk of texts to the
+    next; beyond that the half of them that occurred most stays.  That changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
-            plain = json.load(f)
-        plain |= {"normalizer": None, "added_tokens": []}
-        whole = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, whole]}
-        self.letters = Tokenizer.from_str(json.dumps(plain))
+            model = json.load(f)["model"]
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # every word is new to it, so it needs no memory of its own
+        bare = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **{k: model[k] for k in options if model.get(k) is not None})
+        self.letters = Tokenizer(bare)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = self.kept_used = 0
+        self.seen = np.zeros(1 << 14, np.int64)
+        self.used = 0
 
-    def _add(self, new: list[bytes], ids: list[int], sizes: np.ndarray) -> None:
+    def _add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         at, n, total = len(self.slot), len(new), len(ids)
         while at + n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.starts, self.sizes, self.seen = (np.resize(a, 2 * len(a)) for a in (self.starts, self.sizes, self.seen))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + total] = ids
         self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at : at + n] = sizes
+        self.seen[at : at + n] = 0
         self.used += total
         self.slot.update(zip(new, range(at, at + n)))
 
+    def _letters(self, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of words of plain letters; a word's last token, and no other, ends a word."""
+        text = b" ".join(run).decode("utf-8").lower()
+        ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(run) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        found = self.letters.encode(text, add_special_tokens=False)  # another kind of model
+        return np.array(found.ids, np.int64), np.bincount(np.array(found.word_ids, np.int64), minlength=len(run))
+
     def _encode(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in new]
-        plain = [t.isalpha() and max(t) < "\u0180" and "\u0130" not in t for t in texts]
-        some = [k for k, p in enumerate(plain) if p]
+        some = [w for w in new if _is_plain(w)]
         for at in range(0, len(some), 2000):
             run = some[at : at + 2000]
-            found = self.letters.encode(" ".join([texts[k].lower() for k in run]), add_special_tokens=False)
-            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(run))
-            self._add([new[k] for k in run], found.ids, sizes)
-        rest = [k for k, p in enumerate(plain) if not p]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
-        self._add([new[k] for k in rest], list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
-
-    def _word(self, w: bytes) -> list[int]:
-        k = self.slot[w]
-        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tolist()
-
-    def _learn(self, new: set[bytes]) -> list[bytes]:
-        """Encodes words that are not known yet; the added words."""
-        marked = [w for w in new if _ends_a_word(w)]
-        simple = (new.difference(marked) | {w[:-1] for w in marked} | {b".", b","}).difference(self.slot)
-        self._encode(list(simple))
-        marks = {m[0]: self._word(m) for m in (b".", b",")}
-        ids = [self._word(w[:-1]) + marks[w[-1]] for w in marked]
-        self._add(marked, list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
-        return [*simple, *marked]
-
-    def _forget(self, added: list[bytes]) -> None:
-        """Words beyond the limit were only needed for this chunk."""
+            self._add(run, *self._letters(run))
+        rest = list(set(new).difference(some)) if len(some) < len(new) else []
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(rest, np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes)
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these slots, one after the other, and where each word's ids end."""
+        starts, sizes = self.starts[slots], self.sizes[slots]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(starts - ends + sizes, sizes)], ends
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encodes words that are not known yet."""
+        heads = [(w, h) for w, h in zip(new, map(_head, new)) if len(h) < len(w)]
+        marked, simple = [w for w, _ in heads], {h for _, h in heads}
+        simple.update(w[len(h) :] for w, h in heads)
+        self._encode(list((new.difference(marked) | simple).difference(self.slot)))
+        # a word's ids are those of its head and those of its marks
+        parts = np.column_stack((self._slots([h for _, h in heads]), self._slots([w[len(h) :] for w, h in heads])))
+        ids, ends = self._gather(parts.ravel())
+        self._add(marked, ids, np.diff(ends[1::2], prepend=0))
+
+    def _forget(self) -> None:
+        """Beyond the limit the half that occurred most stays; its counts are halved, so words of long ago go in time."""
         if len(self.slot) <= self.limit:
-            self.kept_used = self.used
-        else:
-            for w in added:
-                del self.slot[w]
-            self.used = self.kept_used
+            return
+        seen = self.seen[: len(self.slot)]
+        stay = np.sort(np.argsort(-seen, kind="stable")[: self.limit // 2])
+        words = list(self.slot)
+        kept, counts = [words[k] for k in stay.tolist()], seen[stay] // 2
+        ids, sizes = self._gather(stay)[0], self.sizes[stay]
+        self._clear()
+        self._add(kept, ids, sizes)
+        self.seen[: len(kept)] = counts
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of ids of each text."""
@@ -118,18 +163,24 @@ class WordTokens:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = list(chain.from_iterable(split))
         slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(slots < 0)
-        added = self._learn({words[k] for k in unknown.tolist()}) if len(unknown) else []
-        slots[unknown] = [self.slot[words[k]] for k in unknown.tolist()]
-        starts, sizes = self.starts[slots], self.sizes[slots]
-        self._forget(added)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(starts - ends + sizes, sizes)]
+        unknown = np.flatnonzero(slots < 0).tolist()
+        if unknown:
+            others = [words[k] for k in unknown]
+            self._learn(set(others))
+            slots[unknown] = self._slots(others)
+        ids, ends = self._gather(slots)
+        self.seen[: len(self.slot)] += np.bincount(slots, minlength=len(self.slot))
+        self._forget()
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return ids, np.diff(bounds)
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The encoder of this Python process: later tasks find the words of earlier ones."""
+    return WordTokens(path)
+
+
 def chunks(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts (UTF-8, null: empty) of runs of rows with about ``size`` bytes."""
     first, held, total = 0, [], 0
@@ -166,7 +217,7 @@ def tokenize_pieces(
     schema = pa.schema(fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(path)
+        encoder = word_tokens(path)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             docs_of = b.column(0).to_pylist()

@@ -542,3 +542,19 @@ def test_joined_words_have_the_ids_of_single_texts():
     ids, counts = WordTokens(default_tokenizer()).ids([t.encode() for t in texts])
     want = [Tokenizer.from_file(default_tokenizer()).encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_keeps_frequent_words_and_is_kept_from_task_to_task():
+    """Whatever is forgotten, the ids are those of whole texts; a word that comes often stays, with or without marks."""
+    rng = random.Random(31)
+    path = packing.default_tokenizer()
+    assert packing.word_tokens(path) is packing.word_tokens(path)
+    encoder = packing.WordTokens(path, limit=60)
+    word = lambda: "".join(rng.choice(["a", "b", "É", "ß", "7", "'s", "!", "$$$", ".", ",", "|>", "<|endoftext|>", "-", "Σ", "x́"]) for _ in range(rng.randint(1, 6)))
+    for n in range(30):
+        texts = [" ".join([word() for _ in range(20)] + ["often", "often$$$", "é,", "é,%%%"] * (n > 3)) for _ in range(4)]
+        ids, counts = encoder.ids([t.encode() for t in texts])
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(encoder.slot) <= 60
+    assert {b"often", b"often$$$", "é,".encode(), "é,%%%".encode()} <= set(encoder.slot)

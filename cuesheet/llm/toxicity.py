@@ -18,6 +18,8 @@ from cuesheet.session import materialize
 STEMS = (4, 5, 6)
 #: How much better (share of pairs in the right order) a ranking with more terms must be.
 GAIN = 0.002
+#: Where most blocks have at least this share of the largest upper bound, none is likely to be left out.
+ALIKE = 0.5
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -62,7 +64,7 @@ class Index:
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0, np.float32)])
         at = np.repeat(np.arange(len(vectors)), sizes)
         order = np.lexsort((at, term))
-        term, self.at, self.weight = term[order], at[order].astype(np.int32), weight[order]
+        term, self.at, self.weight = term[order], at[order], weight[order]
         block = self.at // self.block
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
         self.blocks, self.start = block[new].astype(np.int64), np.append(new, len(term))
@@ -80,34 +82,52 @@ class Index:
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine and their cosines, exactly; ties by position.
 
-        Blocks are scored in the order of their upper bounds until the next
-        bound is below the k-th best cosine found.
+        The blocks of the largest upper bounds are scored first, then, in one go,
+        the others whose bound reaches the k-th best cosine found.  Where those are
+        most blocks, or seem to be as their bounds are alike, the postings of each
+        term are read as a whole.
         """
         lo, hi = self.first[ids], self.first[ids + 1]
         entries, mine = spans(lo, hi), np.repeat(w.astype(np.float64), hi - lo)
-        n_blocks = -(-len(self.ids) // self.block)
-        bounds = np.bincount(self.blocks[entries], mine * self.most[entries], n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        turn = np.empty(n_blocks, np.int64)
-        turn[order] = np.arange(n_blocks)
-        when = turn[self.blocks[entries]]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for now in range(0, n_blocks, step):
-            bound = bounds[order[now]]
-            if bound <= 0 or len(best) >= k and bound * (1 + 1e-9) < best[-1]:
-                break
-            some = np.flatnonzero((when >= now) & (when < now + step))
+        block = self.blocks[entries]
+        bounds = np.bincount(block, mine * self.most[entries], -(-len(self.ids) // self.block))
+        if 2 * (bounds > ALIKE * bounds.max(initial=0)).sum() > len(bounds):
+            return self._all(ids, w, k, skip)
+        wanted = bounds > 0
+        wanted[np.argsort(-bounds, kind="stable")[4:]] = False
+        left = (bounds > 0) & ~wanted
+        some = np.flatnonzero(wanted[block])
+        a, b = self.start[entries[some]], self.start[entries[some] + 1]
+        best_at, best = self._top(spans(a, b), mine[some], b - a, k, skip)
+        if len(best) >= k:
+            left &= bounds * (1 + 1e-9) >= best[-1]
+        if 2 * left.sum() > len(left):
+            return self._all(ids, w, k, skip)
+        if left.any():
+            some = np.flatnonzero(left[block])
             a, b = self.start[entries[some]], self.start[entries[some] + 1]
-            posts = spans(a, b)
-            cos = np.bincount(self.at[posts], np.repeat(mine[some], b - a) * self.weight[posts], len(self.ids))
-            found = np.flatnonzero(cos > 0)
-            found = found[found != skip]
-            best_at, best = np.concatenate((best_at, found)), np.concatenate((best, cos[found]))
+            more_at, more = self._top(spans(a, b), mine[some], b - a, k, skip)
+            best_at, best = np.concatenate((best_at, more_at)), np.concatenate((best, more))
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
         return best_at, best
 
+    def _all(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.start[self.first[ids]], self.start[self.first[ids + 1]]
+        return self._top([slice(x, y) for x, y in zip(a.tolist(), b.tolist())], w.astype(np.float64), b - a, k, skip)
+
+    def _top(self, where: np.ndarray | list[slice], mine: np.ndarray, sizes: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples by the postings at ``where``: runs of ``sizes``, each times the weight in ``mine``."""
+        at, weight = (np.concatenate([c[:0], *(c[r] for r in where)]) if isinstance(where, list) else c[where] for c in (self.at, self.weight))
+        cos = np.bincount(at, np.repeat(mine, sizes) * weight, len(self.ids))
+        if 0 <= skip:
+            cos[skip] = 0
+        found = np.flatnonzero(cos > 0)
+        if len(found) > k:
+            found = found[cos[found] >= np.partition(cos[found], -k)[-k]]
+        top = np.lexsort((found, -cos[found]))[:k]
+        return found[top], cos[found[top]]
+
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """Distance-weighted share of toxic neighbours."""
         near = 1 / (1.02 - np.minimum(cos, 1))

@@ -558,3 +558,29 @@ def test_encoder_keeps_frequent_words_and_is_kept_from_task_to_task():
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
         assert len(encoder.slot) <= 60
     assert {b"often", b"often$$$", "é,".encode(), "é,%%%".encode()} <= set(encoder.slot)
+
+
+def test_nearest_examples_are_exact_in_few_passes(monkeypatch):
+    """Blocks with like bounds, blocks of which few are needed, ties and one example left out: all cosines summed in plain Python."""
+    rng = np.random.default_rng(8)
+    passes = []
+    plain = toxicity.spans
+    monkeypatch.setattr(toxicity, "spans", lambda a, b: passes.append(1) or plain(a, b))
+    for kind in ("alike", "apart", "equal"):
+        index = toxicity.Index({}, np.ones(30), np.zeros(200), np.arange(200), block=5)
+        vectors = []
+        for j in range(200):
+            low = {"alike": 0, "apart": j // 10, "equal": 3}[kind]
+            some = low + np.arange(8) if kind == "equal" else np.sort(rng.choice(np.arange(low, 30 if kind == "alike" else low + 10), 6, False))
+            vectors.append(index.vector({int(i): 1 if kind == "equal" else int(rng.integers(1, 9)) for i in some}))
+        index.fill(vectors)
+        for skip in (-1, 0, 77):
+            ids, w = vectors[77]
+            want = [sum(float(w[ids == t][0]) * float(x) for t, x in zip(*v) if t in ids) for v in vectors]
+            order = sorted((j for j in range(200) if want[j] > 0 and j != skip), key=lambda j: (-want[j], j))[:15]
+            passes.clear()
+            at, cos = index.nearest(ids, w, 15, skip=skip)
+            assert at.tolist() == order and cos.tolist() == [want[j] for j in order]
+            assert len(passes) <= 3
+    at, cos = index.nearest(np.zeros(0, np.int64), np.zeros(0, np.float32), 15)
+    assert not len(at) and not len(cos)

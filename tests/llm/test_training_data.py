@@ -584,3 +584,16 @@ def test_nearest_examples_are_exact_in_few_passes(monkeypatch):
             assert len(passes) <= 3
     at, cos = index.nearest(np.zeros(0, np.int64), np.zeros(0, np.float32), 15)
     assert not len(at) and not len(cos)
+
+
+def test_passages_of_over_50_words_on_both_sides_of_400_bytes(spark):
+    """The contract's 400 bytes decide, not the number of words: a shared passage of 56 words in 399 bytes stays, one of 400 goes."""
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = []
+    for k, size in enumerate((350, 399, 400, 480)):
+        passage = prose(80)[:size]
+        assert len(passage.split()) >= 50
+        rows += [(10 * k + c, prose(30 + c) + f"{c}" + passage + f"{'xyz'[c]}" + prose(25)) for c in range(3)]
+    got = collect(repeats.remove_repeats(frame(spark, rows)))
+    assert all(got[d]["n_removed"] == (0 if d < 20 else 400 if d < 30 else 480) and got[d]["n_bytes"] == len(t) for d, t in rows)

@@ -8,13 +8,14 @@ that the first round has left in different components.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import components, lean, whole_runs
+from cuesheet.llm.common import components, lean, slices, whole_runs
 from cuesheet.session import materialize
 
 PAIRS = "a long, b long"
@@ -188,7 +189,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             out: list[list] = [[], [], [], []]
             for a, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if held is not None and held[:2] == (a, c):

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import lean, narrow, table, whole_runs
+from cuesheet.llm.common import KEPT, lean, narrow, table, whole_runs
 from cuesheet.session import materialize
 
 CAPACITY = 2048
@@ -181,6 +181,9 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+KEPT["words"] = word_tokens.cache_clear
+
+
 def chunks(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts (UTF-8, null: empty) of runs of rows with about ``size`` bytes."""
     first, held, total = 0, [], 0
@@ -237,7 +240,7 @@ def tokenize_pieces(
 
     ddl = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     source = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(lean(pieces), ddl)
+    return source.mapInArrow(lean(pieces, "words"), ddl)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,7 +335,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = 20_000
         dealt = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(parts)))
         schema_text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema_in.fields)
         placed = materialize(
-            dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lean(place), f"{schema_text}, {ddl_extra}"), "packed"
+            dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lean(place, "words"), f"{schema_text}, {ddl_extra}"), "packed"
         )
         closed.append(placed.where("not open"))
         left = placed.where("open").select(*columns)

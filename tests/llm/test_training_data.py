@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.llm import chat_format, decontaminate, exact_dedup, line_dedup, linking, minhash, packing, pii, ppm, repeats, toxicity
-from cuesheet.llm.common import components, words
+from cuesheet.llm.common import components, lean, run_parts, slices, whole_runs, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, sig string"
 SF = "/root/testdata/sf0.001"
@@ -597,3 +597,49 @@ def test_passages_of_over_50_words_on_both_sides_of_400_bytes(spark):
         rows += [(10 * k + c, prose(30 + c) + f"{c}" + passage + f"{'xyz'[c]}" + prose(25)) for c in range(3)]
     got = collect(repeats.remove_repeats(frame(spark, rows)))
     assert all(got[d]["n_removed"] == (0 if d < 20 else 400 if d < 30 else 480) and got[d]["n_bytes"] == len(t) for d, t in rows)
+
+
+def test_line_keys_of_many_lines_take_little_memory():
+    """8 MB of lines, one of them longer than what is worked on at a time: keys and signatures are those of each line alone."""
+    import tracemalloc
+
+    rng = random.Random(23)
+    lines = [rng.randbytes(rng.randint(1, 900)) for _ in range(16_000)]
+    lines[5000:5000] = [rng.randbytes(700_000), b"x"]
+    powers = line_dedup.Powers()
+    line_dedup.line_keys([b"z" * 700_000], 2, powers)
+    tracemalloc.start()
+    keys, sig = line_dedup.line_keys(lines, 2, powers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    for k in (0, 1, 700, 4999, 5000, 5001, 5002, 16_000, 16_001):
+        alone = line_dedup.line_keys([lines[k]], 2, powers)
+        assert keys[k].tolist() == alone[0][0].tolist() and sig[k].tolist() == alone[1][0].tolist()
+
+
+def test_parts_of_batches_and_runs_are_small_and_whole():
+    import pyarrow as pa
+
+    rng = random.Random(29)
+    rows = [(run, "é" * rng.randint(0, 30) if rng.random() < 0.9 else None) for run in range(40) for _ in range(rng.randint(1, 9))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), pa.array([t for _, t in rows])], names=["grp", "text"])
+    cut = list(slices(batch, 1000))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and max(c.num_rows for c in cut) < len(rows) / 3
+    assert not list(slices(batch.slice(0, 0)))
+    table, starts = next(whole_runs([batch], "grp"))
+    table = table.set_column(1, "text", table.column("text").fill_null(""))
+    parts = list(run_parts(table, starts, "text", 300))
+    assert pa.concat_tables([t for t, _ in parts]).equals(table)
+    for t, s in parts:
+        runs = t.column("grp").to_pylist()
+        assert s[0] == 0 and s[-1] == t.num_rows and all(len(set(runs[a:b])) == 1 for a, b in zip(s[:-1], s[1:])) and len(set(runs)) == len(s) - 1
+        assert len(s) == 2 or sum(len(x.encode()) for x in t.column("text").to_pylist()) <= 300
+    assert 3 < len(parts) < 40
+
+
+def test_the_encoder_goes_when_another_operator_has_the_process():
+    path = packing.default_tokenizer()
+    encoder = packing.word_tokens(path)
+    assert list(lean(lambda batches: batches, "words")([1, 2])) == [1, 2] and packing.word_tokens(path) is encoder
+    assert list(lean(lambda batches: iter([packing.word_tokens.cache_info().currsize]))([])) == [0]

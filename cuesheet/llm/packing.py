@@ -11,6 +11,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,15 +160,21 @@ class WordTokens:
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(slots < 0).tolist()
+        column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        lowered = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        # white space at the start or end of a text makes empty words, which have no ids
+        split = pc.ascii_split_whitespace(lowered)
+        counts = pc.list_value_length(split).to_numpy()
+        # few words are new to a run of texts: Arrow tells them apart, and each is looked up once
+        coded = pc.dictionary_encode(split.flatten())
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(known < 0).tolist()
         if unknown:
             others = [words[k] for k in unknown]
             self._learn(set(others))
-            slots[unknown] = self._slots(others)
+            known[unknown] = self._slots(others)
+        slots = known[coded.indices.to_numpy()]
         ids, ends = self._gather(slots)
         self.seen[: len(self.slot)] += np.bincount(slots, minlength=len(self.slot))
         self._forget()

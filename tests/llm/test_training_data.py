@@ -638,6 +638,25 @@ def test_parts_of_batches_and_runs_are_small_and_whole():
     assert 3 < len(parts) < 40
 
 
+def test_a_word_is_looked_up_once_in_a_run_of_texts():
+    """Any white space and any place of it; ids are those of whole texts."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    encoder = packing.WordTokens(packing.default_tokenizer())
+    texts = ["one Two one\ttwo\x0b three\r\n " * 200, " \x0c", "", "\n<|endoftext|> ONE\x1ctwo\x85 three <| Two\n", "two\x00 É é "]
+    encoder.slot = Counted()
+    ids, counts = encoder.ids([t.encode() for t in texts])
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert Counted.asked < 20
+
+
 def test_the_encoder_goes_when_another_operator_has_the_process():
     path = packing.default_tokenizer()
     encoder = packing.word_tokens(path)

@@ -157,11 +157,12 @@ def split_long(sentences: DataFrame, limit: int = 200, col: str = "sentence") ->
 
 
 def _balanced(sentences: Column, max_chars: int) -> Column:
-    """Pack sentences towards the even share of the whole text."""
+    """Pack sentences towards the even share of the whole text; no sentences, no chunks."""
 
     def body(parts: Column) -> Column:
-        total = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)) + F.size(parts) - 1
-        target = bind(total, lambda t: F.greatest(F.ceil(t / F.ceil(t / F.lit(max_chars))), F.lit(1)))
+        total = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)) + F.greatest(F.size(parts) - 1, F.lit(0))
+        chunks = lambda t: F.greatest(F.ceil(t / F.lit(max_chars)), F.lit(1))
+        target = bind(total, lambda t: F.greatest(F.ceil(t / chunks(t)), F.lit(1)))
         return bind(target, lambda limit: _pack(parts, limit))
 
     return bind(sentences, body)

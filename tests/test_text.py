@@ -150,6 +150,18 @@ def test_no_undersized_chunk_next_to_room(spark):
     assert all(len(c) > 10 for c in {r.script_id: r.chunks for r in C.chunk_arrays(df, 100).collect()}[2])
 
 
+#: Texts without a sentence: null, nothing, blanks, marks that the splitter takes out.
+BLANK = [None, "", " \n\t", "\ufdd0" * 500]
+
+
+def test_sentences_are_packed_beside_texts_without_any(spark):
+    texts = [*BLANK, "One. Two.", "Alpha bravo. Charlie delta. Echo."]
+    df = C.with_sentences(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"))
+    rows = {r.script_id: r.chunks for r in C.chunk_sentences(df, 20).collect()}
+    assert rows == {0: [], 1: [], 2: [], 3: [], 4: ["One. Two."], 5: ["Alpha bravo.", "Charlie delta.", "Echo."]}
+    assert spark.createDataFrame([(BLANK[3],)], "t string").select(C.chunk_array(F.col("t"))).first()[0] == [BLANK[3]]
+
+
 def test_size_gate_checks_characters_first(spark):
     df = spark.createDataFrame([("a " * 5000,), ("b " * 1500,), ("ok",)], "text string")
     reasons = [r.size_reason for r in NZ.gate_size(df).collect()]

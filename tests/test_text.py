@@ -1,9 +1,12 @@
 """Script clean-up, number speech, sentences and chunks: literal cases and invariants."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.catalog.base import spread
+from cuesheet.catalog.text import QUERIES as text_queries
 from cuesheet.functions import numbers as N
 from cuesheet.functions import text as X
 from cuesheet.operators import chunking as C
@@ -162,6 +165,24 @@ def test_sentences_are_packed_beside_texts_without_any(spark):
     assert spark.createDataFrame([(BLANK[3],)], "t string").select(C.chunk_array(F.col("t"))).first()[0] == [BLANK[3]]
 
 
+def test_short_chunks_are_merged_beside_texts_without_any(spark):
+    texts = [*BLANK, "Me. Yes. " + "Absolutely nothing else was said. " * 2 + "No."]
+    df = C.with_sentences(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"))
+    out = C.merge_short(C.chunk_sentences(df, 40), 20, 60)
+    rows = {r.script_id: r.chunks for r in out.collect()}
+    long = "Absolutely nothing else was said."
+    assert rows == {0: [], 1: [], 2: [], 3: [], 4: [f"Me. Yes. {long}", f"{long} No."]}
+
+
+def test_blank_scripts_keep_their_row_in_merge_short(spark, tmp_path):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*BLANK, "One. Two.", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.script_id: (r.chunks, r.digest) for r in text_queries["merge_short"](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {**dict.fromkeys((0, 1, 2, 3, 5), (0, md5(""))), 4: (1, md5("One. Two."))}
+
+
 def test_size_gate_checks_characters_first(spark):
     df = spark.createDataFrame([("a " * 5000,), ("b " * 1500,), ("ok",)], "text string")
     reasons = [r.size_reason for r in NZ.gate_size(df).collect()]
